@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from fernmark.llm import line_dedup, token_output
+from fernmark.llm import chat, line_dedup, media, mixing, token_output
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_chat": chat.op5_chat,
+    "op8_mixing": mixing.op8_mixing,
     "op9_token_output": token_output.op9_token_output,
+    "op10_media": media.op10_media,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op5_chat": chat.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
