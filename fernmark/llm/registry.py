@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fernmark.llm import chat, line_dedup, media, mixing, token_output
+from fernmark.llm import chat, langid, line_dedup, media, mixing, token_output, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_langid": langid.op3_langid,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_output": token_output.op9_token_output,
