@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fernmark.llm import chat, langid, line_dedup, media, mixing, token_output, toxicity
+from fernmark.llm import chat, decontam, langid, line_dedup, media, mixing, token_output, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_langid": langid.op3_langid,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
+    "op6_decontam": decontam.op6_decontam,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_output": token_output.op9_token_output,
     "op10_media": media.op10_media,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_chat": chat.ORACLE,
+    "op6_decontam": decontam.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
