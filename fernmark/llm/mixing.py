@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from fernmark.llm._common import broadcast_if_small, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-_ROWS_A_BUCKET = 4096
+_ROWS_A_BUCKET = 256
 _KEY_BITS = 60
 
 
