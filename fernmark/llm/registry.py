@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernmark.llm import chat, decontam, langid, line_dedup, media, mixing, token_output, toxicity
+from fernmark.llm import chat, decontam, langid, line_dedup, media, mixing, ngram_join, token_output, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
     "op6_decontam": decontam.op6_decontam,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_mixing": mixing.op8_mixing,
     "op9_token_output": token_output.op9_token_output,
     "op10_media": media.op10_media,
