@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fernmark.llm import chat, decontam, langid, line_dedup, media, mixing, ngram_join, token_output, toxicity
+from fernmark.llm import chat, decontam, langid, line_dedup, media, mixing, ngram_join, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_langid": langid.op3_langid,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
