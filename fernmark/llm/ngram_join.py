@@ -7,14 +7,15 @@ the pigeonhole principle two similar sets agree on some of their segments.
 
 * Size bands are powers of 4; a pair meets in the smaller set's band, so a set
   signs for its own band and, if it may be the larger one of a pair, for the one
-  below. A band of sizes under h has 2h segments.
+  below. A band of sizes under h has 4h segments.
 * A set signs with its subset of each segment it has shingles in. If it can
-  differ from a partner in at most H shingles, its H + 1 first signatures, in
-  any order that all sets share, suffice. The order is by cost: how many
-  documents have the segment's rarest shingle (from a count of the frequent
-  ones), so hot signatures are used last.
-* A set with so few used segments that a partner could fall short of H + 1 signs
-  with single shingles as well.
+  differ from a partner in at most H shingles, of its H + 1 + T first signatures,
+  in any order that all sets share, T + 1 are the partner's too. The order is by
+  cost: how many documents have the segment's rarest shingle (from a count of
+  the frequent ones), so hot signatures are used last. T, a tenth of the size,
+  drops sets that share only a passage before anything is verified.
+* A set with so few used segments that a partner could fall short of H + 1 + T
+  signs with single shingles as well.
 * Sets of 3 to 6 shingles can differ in one only: for them the allocation is one
   segment with its one-deletion neighbourhood, each set's signatures being
   itself and itself without each of its shingles.
@@ -50,6 +51,8 @@ MAX_COSTS = 400_000
 #: Most signatures, nodes or pairs (8 to 16 bytes each) that are broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
 _FLUSH = 1 << 21
+#: A set has one spare signature for so many shingles.
+_SPARE = 10
 
 
 def _segmented(values: np.ndarray, first: np.ndarray, how=np.add) -> np.ndarray:
@@ -107,24 +110,25 @@ def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarra
         smaller = np.where(below, np.minimum(high - 1, sizes), sizes)
         largest = np.where(below, sizes, np.floor(sizes / t))
         differ = np.floor((1 - t) / (1 + t) * (smaller + largest) + 1e-9).astype(np.int64)
+        most = differ + 1 + sizes // _SPARE
         mine = takes[owner]
         o, x, c = owner[mine], mixed[mine], cost[mine]
-        segment = (x >> np.uint64(20)) % (2 * high[o]).astype(np.uint64)
+        segment = (x >> np.uint64(20)) % (4 * high[o]).astype(np.uint64)
         order = np.lexsort((segment, o))
         so, ss = o[order], segment[order]
         first = np.flatnonzero((np.diff(so, prepend=-1) != 0) | (np.diff(ss.astype(np.int64), prepend=-1) != 0))
         salt = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         seg_owner, seg_key = so[first], mix(_segmented(x[order], first) ^ salt[so[first]])
         seg_cost = _segmented(c[order], first, np.minimum)
-        chosen = _cheapest(seg_owner, seg_key, seg_cost, differ + 1)
+        chosen = _cheapest(seg_owner, seg_key, seg_cost, most)
         out.append((seg_owner[chosen], seg_key[chosen]))
         # A partner could be short of segments, or this set is: single shingles too.
         used = np.bincount(seg_owner, minlength=len(sizes))
-        short = takes & (used <= sizes * (1 - t) + sizes / t * (1 - t) / (1 + t) * (1 + 1 / t))
+        short = takes & (used <= sizes * (1 - t) + sizes / t * ((1 - t) / (1 + t) * (1 + 1 / t) + 1 / _SPARE))
         if short.any():
             few = short[o]
             fo, fk, fc = o[few], mix(x[few] ^ salt[o[few]] ^ np.uint64(0xA11CE)), c[few]
-            chosen = _cheapest(fo, fk, fc, differ + 1)
+            chosen = _cheapest(fo, fk, fc, most)
             out.append((fo[chosen], fk[chosen]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -132,23 +136,23 @@ def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarra
 
 
 def _first_pass(n: int):
-    """Nodes (id, n_shingles, node) and, with a null id column, shingles seen more than once since the last flush."""
+    """Nodes (kind 0: id, rid, n, node) and, as kind 1, shingles seen more than once since the last flush."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "node"]
+        names = ["kind", "id", "rid", "n", "node"]
         held: list[np.ndarray] = []
         room = 0
 
         def flush() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(tokens.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(tokens.view(np.int64))], names)
 
         for batch in batches:
-            ids, at = batch.column(0), 0
-            for some in chunks(batch.column(1).to_pylist()):
+            at = 0
+            for some in chunks(batch.column(2).to_pylist()):
                 sets = shingle_sets(some, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), ids.slice(at, len(some)), pa.array(sets.sizes), pa.array(set_hashes(sets).view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(sets.sizes), pa.array(set_hashes(sets).view(np.int64))], names)
                 at += len(some)
                 held.append(sets.tokens)
                 room += len(sets.tokens)
@@ -223,33 +227,46 @@ def _costs(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable over links of at least ``percent`` per cent)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = materialize(rows.mapInArrow(_first_pass(n), "kind int, id long, n long, node long"), "shingled")
-    nodes = first.where("kind = 0").select("id", "n", "node")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
+    first = materialize(rows.mapInArrow(_first_pass(n), "kind int, id long, rid long, n long, node long"), "shingled")
+    nodes = first.where("kind = 0").select("id", "rid", "n", "node")
     sent = spark.sparkContext.broadcast(_costs(first.where("kind = 1").select("node", "n")))
-    signed = materialize(rows.select("text").mapInArrow(_sign(n, percent, sent), "key long, node long"), "signed")
-    shared = signed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    shared = materialize(shared, "shared")
-    members = materialize(signed.join(broadcast_if_small(shared, MAX_BROADCAST_ROWS), "key").select("key", "node", "low").distinct(), "members")
+    # Of equal sets one signs.
+    several = nodes.groupBy("node").agg(F.min("rid").alias("signs"), F.count("*").alias("rows")).where("rows > 1").select("node", "signs")
+    silent = nodes.join(broadcast_if_small(several, MAX_BROADCAST_ROWS), "node").where("rid <> signs").select("rid").distinct()
+    signing = rows.select("rid", "text").join(broadcast_if_small(materialize(silent, "silent"), MAX_BROADCAST_ROWS), "rid", "left_anti")
+    signed = materialize(signing.select("text").mapInArrow(_sign(n, percent, sent), "key long, node long"), "signed")
+    shared = materialize(signed.groupBy("key").count().where("count > 1").select("key"), "shared")
+    members = materialize(signed.join(broadcast_if_small(shared, MAX_BROADCAST_ROWS), "key").distinct(), "shared-members")
+    # A set shares at least as many signatures as its smallest partner has spare ones, and one.
+    enough = F.floor(F.ceil(F.col("n") * percent / 100) / _SPARE) + 1
+    sizes = nodes.select("node", "n").distinct()
+    likely = members.groupBy("node").count().join(sizes, "node").where(F.col("count") >= enough).select("node", "n")
+    members = members.join(likely, "node")
+    low = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("rows")).where("rows > 1").select("key", "low.*").toDF("key", "low", "low_n")
+    members = materialize(members.join(low, "key"), "members")
+    near = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
 
     wanted = members.select("node").distinct()
-    ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id")).alias("m")).select(F.col("m.id").alias("want")), "ids")
-    chosen = rows.join(broadcast_if_small(ids.distinct(), MAX_BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = materialize(chosen.select("text").mapInArrow(_sets(n), "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("rid")).select("rid"), "ids")
+    chosen = rows.select("rid", "text").join(broadcast_if_small(ids.distinct(), MAX_BROADCAST_ROWS), "rid", "left_semi")
+    sets = materialize(chosen.select("text").mapInArrow(_sets(n), "node long, tokens binary"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
         return materialize(both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u long, v long, ok boolean"), "verified").where("ok").select("u", "v")
 
-    links = verified(members.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct())
+    links = verified(members.where((F.col("node") != F.col("low")) & near).select(F.col("low").alias("u"), F.col("node").alias("v")).distinct())
     found = materialize(components(links), "components")
     # Signatures whose nodes are still in more than one component.
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     open_rows = materialize(placed.join(split, "key"), "open")
     if not open_rows.isEmpty():
-        other = open_rows.select("key", F.col("node").alias("v"), F.col("component").alias("c"))
-        pairs = open_rows.withColumnRenamed("node", "u").join(other, "key").where("u < v and component <> c").select("u", "v").distinct()
+        other = open_rows.select("key", F.col("node").alias("v"), F.col("n").alias("low_n"), F.col("component").alias("c"))
+        pairs = open_rows.withColumnRenamed("node", "u").join(other, "key").where(near & F.expr("u < v and component <> c"))
+        pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("both"), F.first(F.least("n", "low_n")).alias("smaller"))
+        pairs = pairs.where(F.col("both") > F.floor(F.col("smaller") / _SPARE)).select("u", "v")
         more = verified(pairs)
         if not more.isEmpty():
             found = materialize(components(links.unionByName(more)), "components")
