@@ -1,16 +1,70 @@
 """A pipeline of five stages over ``documents``; each calls one operator of fernmark.llm.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``. All but the last return the
+columns of their input. Stages that reject documents look their ids up in a small
+table; documents with a null id can't be told apart by it and stay.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fernmark.llm._common import materialize, table
+from fernmark.llm import decontam, mixing, ngram_join, token_output, toxicity
+from fernmark.llm._common import broadcast_if_small, materialize, table
 
-STAGES: list = []
+#: Most ids (16 bytes each) that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(broadcast_if_small(materialize(ids.where("doc_id is not null").distinct(), "rejected"), MAX_BROADCAST_ROWS), "doc_id", "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents with a toxicity score of one half or more."""
+    model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"))
+    return docs.where(~toxicity.is_toxic(spark, model)(F.col("text")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at 0.75 the one with the lowest id stays; of repeated rows, one."""
+    groups = materialize(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    kept = _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    repeated = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(broadcast_if_small(repeated, MAX_BROADCAST_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(broadcast_if_small(repeated, MAX_BROADCAST_ROWS), "doc_id", "left_anti").unionByName(again)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a window of a benchmark item."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("n_hit > 0").select("doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none to three times."""
+    mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.join(broadcast_if_small(materialize(mixed, "copies"), MAX_BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, and what they hold of each document."""
+    return token_output.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier's and the tokenizer's stages have no SQL form.
+#: The classifier's and the tokenizer's stages have no SQL form; tests/llm hold the stages against brute force.
 ORACLE_SQL = None

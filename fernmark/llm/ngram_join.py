@@ -20,10 +20,12 @@ the pigeonhole principle two similar sets agree on some of their segments.
   segment with its one-deletion neighbourhood, each set's signatures being
   itself and itself without each of its shingles.
 
-Equal sets are one node. Signatures of at least two nodes tie their nodes to
-the lowest one; these pairs are verified on the whole sets. Pairs that share a
-signature, but are in different components after that, are verified too, so no
-link is lost and a large group of copies costs a star, not all its pairs.
+Equal sets are one node. The members of a signature meet in the block of its
+centre, the member that is most like others, so that the signatures of a group
+of near copies share one block, and any two sets with a common signature share a
+block. A block verifies on the whole sets, all of them against each other as a
+matrix product, and returns only a spanning forest of its links; a large block
+is dealt to chunks, and pairs of chunks to tasks.
 
 Shingles are 64-bit hashes, which is where "exact" ends.
 
@@ -41,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fernmark.llm._common import broadcast_if_small, materialize, table
 from fernmark.llm.components import components
@@ -50,6 +53,10 @@ from fernmark.llm.shingles import Sets, chunks, mix, shingle_sets
 MAX_COSTS = 400_000
 #: Most signatures, nodes or pairs (8 to 16 bytes each) that are broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
+#: Sets of a block that are verified in one task.
+BLOCK = 1024
+#: Documents with a shingle from which on its signatures skip the count.
+HOT = 1000
 _FLUSH = 1 << 21
 #: A set has one spare signature for so many shingles.
 _SPARE = 10
@@ -76,12 +83,12 @@ def _cheapest(owner: np.ndarray, keys: np.ndarray, cost: np.ndarray, most: np.nd
     return order[rank < most[o]]
 
 
-def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of all sets."""
+def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, signature, cost) of all sets."""
     sizes, owner, tokens = sets.sizes, sets.owner, sets.tokens
     mixed = mix(tokens)
     cost = cost_of(tokens)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     t = percent / 100
     # One segment with its one-deletion neighbourhood: for pairs that differ in one shingle.
@@ -92,8 +99,8 @@ def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarra
         o, x = owner[mine], mixed[mine]
         first = np.flatnonzero(np.diff(o, prepend=-1))
         total = np.add.reduceat(x, first)
-        out.append((o[first], mix(total ^ np.uint64(0x5EED))))
-        out.append((o, mix((np.repeat(total, np.diff(first, append=len(o))) - x) ^ np.uint64(0x5EED))))
+        out.append((o[first], mix(total ^ np.uint64(0x5EED)), np.minimum.reduceat(cost[mine], first)))
+        out.append((o, mix((np.repeat(total, np.diff(first, append=len(o))) - x) ^ np.uint64(0x5EED)), np.zeros(len(o), np.int64)))
 
     band = np.zeros(len(sizes), np.int64)
     large = sizes >= tiny_high
@@ -121,7 +128,7 @@ def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarra
         seg_owner, seg_key = so[first], mix(_segmented(x[order], first) ^ salt[so[first]])
         seg_cost = _segmented(c[order], first, np.minimum)
         chosen = _cheapest(seg_owner, seg_key, seg_cost, most)
-        out.append((seg_owner[chosen], seg_key[chosen]))
+        out.append((seg_owner[chosen], seg_key[chosen], seg_cost[chosen]))
         # A partner could be short of segments, or this set is: single shingles too.
         used = np.bincount(seg_owner, minlength=len(sizes))
         short = takes & (used <= sizes * (1 - t) + sizes / t * ((1 - t) / (1 + t) * (1 + 1 / t) + 1 / _SPARE))
@@ -129,10 +136,10 @@ def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarra
             few = short[o]
             fo, fk, fc = o[few], mix(x[few] ^ salt[o[few]] ^ np.uint64(0xA11CE)), c[few]
             chosen = _cheapest(fo, fk, fc, most)
-            out.append((fo[chosen], fk[chosen]))
+            out.append((fo[chosen], fk[chosen], fc[chosen]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out])
 
 
 def _first_pass(n: int):
@@ -179,8 +186,9 @@ def _sign(n: int, percent: int, sent):
             for some in chunks(batch.column(0).to_pylist()):
                 sets = shingle_sets(some, n)
                 nodes = set_hashes(sets).view(np.int64)
-                owner, keys = signatures(sets, percent, cost_of)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[owner])], ["key", "node"])
+                owner, keys, cost = signatures(sets, percent, cost_of)
+                salt = np.where(cost >= HOT, nodes[owner] % 4096 + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[owner]), pa.array(salt)], ["key", "node", "salt"])
 
     return run
 
@@ -196,19 +204,79 @@ def _sets(n: int):
     return run
 
 
-def _verify(percent: int):
+def linked(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join up all similar ones of these sets; with ``sides`` (0 or 1), only between the sides.
+
+    Intersections come from products of membership matrices, a slab of shingles
+    at a time. Of the links found a spanning forest is returned.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(token)[token] > 1  # others are in one set only
+    owner, token = owner[often], token[often]
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    left = np.flatnonzero(sides == 0) if sides is not None else np.arange(len(sets))
+    right = np.flatnonzero(sides == 1) if sides is not None else left
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        a, b = np.searchsorted(token, (at, at + width))
+        slab = np.zeros((len(sets), width), np.float32)
+        slab[owner[a:b], token[a:b] - at] = 1
+        both += slab[left] @ slab[right].T
+    similar = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, row in zip(left.tolist(), similar):
+        for j in right[np.flatnonzero(row)].tolist():
+            if i != j and root(i) != root(j):
+                parent[root(i)] = root(j)
+                out.append((i, j))
+    return out
+
+
+def _link(percent: int):
+    """Rows (center, i, j, node, side, tokens), sorted by group: links (u, v) within each group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sides, sets = None, [], [], []
+        out: list[tuple[int, int]] = []
+
+        def solve() -> None:
+            if len(nodes) > 1:
+                cross = np.array(sides) if key[1] != key[2] else None
+                out.extend((nodes[a], nodes[b]) for a, b in linked(sets, cross, percent))
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
+            out.clear()
+            return made
+
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            left, right = batch.column(2), batch.column(3)
             for k in range(batch.num_rows):
-                a, b = np.frombuffer(left[k].as_py(), np.uint64), np.frombuffer(right[k].as_py(), np.uint64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                both = int((b[at] == a).sum())
-                ok[k] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["u", "v", "ok"])
+                now = tuple(batch.column(c)[k].as_py() for c in range(3))
+                if now != key:
+                    if key is not None:
+                        solve()
+                        nodes, sides, sets = [], [], []
+                    key = now
+                nodes.append(batch.column(3)[k].as_py())
+                sides.append(batch.column(4)[k].as_py())
+                sets.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
+            yield batch_of()
+        if key is not None:
+            solve()
+            yield batch_of()
 
     return run
 
@@ -235,41 +303,34 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     several = nodes.groupBy("node").agg(F.min("rid").alias("signs"), F.count("*").alias("rows")).where("rows > 1").select("node", "signs")
     silent = nodes.join(broadcast_if_small(several, MAX_BROADCAST_ROWS), "node").where("rid <> signs").select("rid").distinct()
     signing = rows.select("rid", "text").join(broadcast_if_small(materialize(silent, "silent"), MAX_BROADCAST_ROWS), "rid", "left_anti")
-    signed = materialize(signing.select("text").mapInArrow(_sign(n, percent, sent), "key long, node long"), "signed")
-    shared = materialize(signed.groupBy("key").count().where("count > 1").select("key"), "shared")
-    members = materialize(signed.join(broadcast_if_small(shared, MAX_BROADCAST_ROWS), "key").distinct(), "shared-members")
+    signed = signing.select("text").mapInArrow(_sign(n, percent, sent), "key long, node long, salt int")
+    # One shuffle counts signatures and keeps the shared ones. Hot ones are shared for certain: they are salted, not counted.
+    rows_of = F.count("*").over(Window.partitionBy("key", "salt"))
+    shared = signed.withColumn("rows", rows_of).where("rows > 1 or salt > 0").select("key", "node")
+    members = materialize(shared, "shared")
     # A set shares at least as many signatures as its smallest partner has spare ones, and one.
     enough = F.floor(F.ceil(F.col("n") * percent / 100) / _SPARE) + 1
     sizes = nodes.select("node", "n").distinct()
-    likely = members.groupBy("node").count().join(sizes, "node").where(F.col("count") >= enough).select("node", "n")
-    members = members.join(likely, "node")
-    low = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("rows")).where("rows > 1").select("key", "low.*").toDF("key", "low", "low_n")
-    members = materialize(members.join(low, "key"), "members")
-    near = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
-
-    wanted = members.select("node").distinct()
+    likely = members.groupBy("node").count().join(sizes, "node").where(F.col("count") >= enough).select("node", "n", "count")
+    members = members.join(likely, "node").distinct()
+    # The most typical member of a signature, with the largest share of signatures that others have, is its centre.
+    rank = F.struct((F.col("count") / F.col("n")).alias("share"), F.col("node"))
+    centers = members.groupBy("key").agg(F.max(rank).alias("c"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("c.node").alias("center"))
+    blocks = materialize(members.select("key", "node").join(centers, "key").select("center", "node").distinct(), "blocks")
+
+    wanted = blocks.select("node").distinct()
     ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("rid")).select("rid"), "ids")
     chosen = rows.select("rid", "text").join(broadcast_if_small(ids.distinct(), MAX_BROADCAST_ROWS), "rid", "left_semi")
     sets = materialize(chosen.select("text").mapInArrow(_sets(n), "node long, tokens binary"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
-        return materialize(both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u long, v long, ok boolean"), "verified").where("ok").select("u", "v")
-
-    links = verified(members.where((F.col("node") != F.col("low")) & near).select(F.col("low").alias("u"), F.col("node").alias("v")).distinct())
+    # Blocks of more than BLOCK sets are dealt to chunks, and pairs of chunks.
+    parts = blocks.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = blocks.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("center", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    shipped = dealt.join(sets, "node").select("center", "i", "j", "node", "side", "tokens").repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "node")
+    links = materialize(shipped.mapInArrow(_link(percent), "u long, v long"), "links")
     found = materialize(components(links), "components")
-    # Signatures whose nodes are still in more than one component.
-    placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    open_rows = materialize(placed.join(split, "key"), "open")
-    if not open_rows.isEmpty():
-        other = open_rows.select("key", F.col("node").alias("v"), F.col("n").alias("low_n"), F.col("component").alias("c"))
-        pairs = open_rows.withColumnRenamed("node", "u").join(other, "key").where(near & F.expr("u < v and component <> c"))
-        pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("both"), F.first(F.least("n", "low_n")).alias("smaller"))
-        pairs = pairs.where(F.col("both") > F.floor(F.col("smaller") / _SPARE)).select("u", "v")
-        more = verified(pairs)
-        if not more.isEmpty():
-            found = materialize(components(links.unionByName(more)), "components")
 
     labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,6 +182,17 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "id long, score double, predicted int, spans array<struct<start:long,end:long,p:double>>").withColumnRenamed("id", id_col)
 
 
+def is_toxic(spark: SparkSession, model: ToxicityModel):
+    """A function of a text column: whether its score is at least one half."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def toxic(text: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(sent.value, text.tolist())[0] >= 0.5)
+
+    return toxic
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """On the rows of ``labels`` outside the held-out fifth."""
     return fit(docs.join(labels.select("doc_id", "toxic"), "doc_id").where(~held_out("doc_id")).select("doc_id", "text", "toxic"))
