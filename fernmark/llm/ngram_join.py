@@ -312,7 +312,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     enough = F.floor(F.ceil(F.col("n") * percent / 100) / _SPARE) + 1
     sizes = nodes.select("node", "n").distinct()
     likely = members.groupBy("node").count().join(sizes, "node").where(F.col("count") >= enough).select("node", "n", "count")
-    members = members.join(likely, "node").distinct()
+    members = members.join(broadcast_if_small(materialize(likely, "likely"), MAX_BROADCAST_ROWS), "node")
     # The most typical member of a signature, with the largest share of signatures that others have, is its centre.
     rank = F.struct((F.col("count") / F.col("n")).alias("share"), F.col("node"))
     centers = members.groupBy("key").agg(F.max(rank).alias("c"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("c.node").alias("center"))
@@ -332,9 +332,10 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     links = materialize(shipped.mapInArrow(_link(percent), "u long, v long"), "links")
     found = materialize(components(links), "components")
 
-    labelled = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = labelled.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = labelled.where("n > 0").join(lowest, "component").select("id", "n", "component_id")
+    labelled = nodes.where("n > 0").join(broadcast_if_small(found, MAX_BROADCAST_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = labelled.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    out = labelled.join(broadcast_if_small(materialize(several, "several"), MAX_BROADCAST_ROWS), "component", "left")
+    out = out.select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = out.unionByName(nodes.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
