@@ -56,7 +56,7 @@ def decontaminate(
     counts = words.select("word").join(broadcast_if_small(vocabulary, MAX_BROADCAST_ROWS), "word").groupBy("word").agg(F.count("*").alias("n"))
     # The rarest word of each window; a window with a word that no document has can't occur.
     placed = windows.select("item", "first", "window", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
-    order = Window.partitionBy("item", "first").orderBy(F.coalesce("n", F.lit(0)), "word", "offset")
+    order = Window.partitionBy("item", "first", "window").orderBy(F.coalesce("n", F.lit(0)), "word", "offset")
     prefix = placed.withColumn("rank", F.row_number().over(order)).where((F.col("rank") == 1) & F.col("n").isNotNull())
     prefix = prefix.groupBy("word", "item", (F.col("first") + F.col("offset")).alias("place")).agg(F.collect_list(F.struct("first", "window")).alias("windows"))
     prefix = materialize(prefix, "prefixes")
