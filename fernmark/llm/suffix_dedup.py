@@ -40,6 +40,9 @@ GRAM = 64
 MAX_GROUP = 20_000
 #: Most rows (16 to 40 bytes) that are broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Anchors of a gram from which on it is dealt to several tasks.
+HOT = 10_000
+_SALTS = 64
 _CHUNK = 1 << 20
 _PIECE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -327,11 +330,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
         raise ValueError(f"length must be over {GRAM}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"))
     found = rows.select("rid", "text").mapInArrow(_anchor_rows(length), "g long, rid long, pos int")
-    repeated = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    candidates = materialize(found.join(repeated, "g", "left_semi"), "anchors")
+    repeated = materialize(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    # Anchors of hot grams are dealt to many tasks; there are at most a HOT-th as many of these grams as anchors.
+    hot = F.broadcast(repeated.where(F.col("n") >= HOT).select("g", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid", "pos"), F.lit(_SALTS)) + 1).otherwise(0)
+    dealt = found.join(hot, "g", "left").withColumn("salt", salt)
+    salts = F.when(F.col("n") >= HOT, F.sequence(F.lit(1).cast("long"), F.lit(_SALTS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    wanted = repeated.select("g", F.explode(salts).alias("salt"))
+    candidates = dealt.join(wanted, ["g", "salt"], "left_semi").select("g", "rid", "pos")
     places = candidates.groupBy("rid").agg(F.collect_set(F.struct("pos", "g")).alias("at"))
-    if candidates.count() <= MAX_BROADCAST_ROWS:
-        places = F.broadcast(places)
     around = rows.select("rid", "text").join(places, "rid").select("rid", "text", "at")
     around = materialize(around.mapInArrow(_contexts(length), "kind int, c long, g long, rid long, pos int, n long, cut int, ctx binary"), "contexts")
     groups = around.where("kind = 1").select(F.col("g").alias("key"), F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high"), "c", "n", "cut", "ctx")
