@@ -119,8 +119,17 @@ def fit(labelled: DataFrame, *, label_col: str = "toxic", text_col: str = "text"
     """Fit on a bounded sample, drawn by hash from all labelled rows; the sample comes to the driver."""
     known = labelled.where(F.col(label_col).isin(0, 1))
     sample = bounded_sample(known, label_col, id_col, {1: per_label, 0: 2 * per_label})
-    totals = {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
-    rows = sample.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toPandas().sort_values(["i", "t"])
+    rows = sample.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return _fit(rows.toPandas(), _totals(known, label_col))
+
+
+def _totals(known: DataFrame, label_col: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in known.groupBy(label_col).count().collect()}
+
+
+def _fit(rows: pd.DataFrame, totals: dict[int, int]) -> ToxicityModel:
+    """``rows``: i, y, t; ``totals``: labelled rows, of which these are a sample, by label."""
+    rows = rows.sort_values(["i", "t"])
     texts, y = rows["t"].tolist(), rows["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return ToxicityModel(None, np.zeros(3))
@@ -193,9 +202,13 @@ def is_toxic(spark: SparkSession, model: ToxicityModel):
     return toxic
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """On the rows of ``labels`` outside the held-out fifth."""
-    return fit(docs.join(labels.select("doc_id", "toxic"), "doc_id").where(~held_out("doc_id")).select("doc_id", "text", "toxic"))
+def fit_on_labels(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> ToxicityModel:
+    """On the rows of ``labels`` outside the held-out fifth. They are sampled before the join, so the sample, bounded
+    by ``per_label``, is broadcast and no text is shuffled."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").alias("i"), F.col("toxic").alias("y"))
+    sample = bounded_sample(known, "y", "i", {1: per_label, 0: 2 * per_label})
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return _fit(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("i")).select("i", "y", "t").toPandas(), _totals(known, "y"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
