@@ -328,7 +328,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     dealt = blocks.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("center", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    shipped = dealt.join(sets, "node").select("center", "i", "j", "node", "side", "tokens").repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "node")
+    dealt = broadcast_if_small(materialize(dealt, "dealt"), MAX_BROADCAST_ROWS // 4)
+    shipped = sets.join(dealt, "node").select("center", "i", "j", "node", "side", "tokens").repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "node")
     links = materialize(shipped.mapInArrow(_link(percent), "u long, v long"), "links")
     found = materialize(components(links), "components")
 
