@@ -99,8 +99,14 @@ def signatures(sets: Sets, percent: int, cost_of) -> tuple[np.ndarray, np.ndarra
         o, x = owner[mine], mixed[mine]
         first = np.flatnonzero(np.diff(o, prepend=-1))
         total = np.add.reduceat(x, first)
-        out.append((o[first], mix(total ^ np.uint64(0x5EED)), np.minimum.reduceat(cost[mine], first)))
-        out.append((o, mix((np.repeat(total, np.diff(first, append=len(o))) - x) ^ np.uint64(0x5EED)), np.zeros(len(o), np.int64)))
+        # The cost, like the key, is that of the shingles signed with, so that a set and the larger one without a shingle agree on it.
+        c = cost[mine]
+        order = np.lexsort((c, o))
+        least, second = c[order[first]], c[order[first + 1]]
+        rest = np.repeat(least, np.diff(first, append=len(o)))
+        rest[order[first]] = second
+        out.append((o[first], mix(total ^ np.uint64(0x5EED)), least))
+        out.append((o, mix((np.repeat(total, np.diff(first, append=len(o))) - x) ^ np.uint64(0x5EED)), rest))
 
     band = np.zeros(len(sizes), np.int64)
     large = sizes >= tiny_high

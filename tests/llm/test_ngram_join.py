@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from fernmark.llm import components, ngram_join
+from fernmark.llm.shingles import Sets
 from tests.llm.fixtures import component_ids, documents, empty, plain, rows_of, shingles
 
 
@@ -37,6 +38,28 @@ def test_passages_shared_by_many(spark):
     check(spark, {k: " ".join(passage + [f"u{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 4, 8, 12, 40, 90]))]) for k in range(80)})
 
 
+def test_frequent_short_texts(spark, monkeypatch):
+    """Sets of 3 to 6 shingles whose shingles are hot, each with a variant that has one word more."""
+    monkeypatch.setattr(ngram_join, "HOT", 16)
+    docs = {}
+    for n in (7, 8, 9):
+        words = [f"w{n}_{k}" for k in range(n)]
+        docs |= {1000 * n + k: " ".join(words) for k in range(60)}
+        docs[1000 * n + 900] = " ".join([*words, "more"])
+    check(spark, docs)
+
+
+def test_cost_is_of_the_key():
+    small, large = np.array([11, 12, 13, 14], np.uint64), np.array([11, 12, 13, 14, 15], np.uint64)
+    sets = Sets(np.concatenate([small, large]), np.array([0, 4, 9]))
+    for costs in ([5, 5, 5, 5, 0], [7, 2, 3, 4, 1], [0, 9, 9, 9, 9], [3, 1, 1, 2, 8]):
+        of = dict(zip(large.tolist(), costs))
+        owner, keys, cost = ngram_join.signatures(sets, 75, lambda tokens: np.array([of[t] for t in tokens.tolist()]))
+        own = {k: c for o, k, c in zip(owner.tolist(), keys.tolist(), cost.tolist()) if o == 0}
+        met = {k: c for o, k, c in zip(owner.tolist(), keys.tolist(), cost.tolist()) if o == 1 and k in own}
+        assert met and all(own[k] == c for k, c in met.items())
+
+
 def test_awkward_rows(spark, monkeypatch):
     docs = plain(spark)
     by_id = {r["doc_id"]: r["text"] for r in rows_of(docs)}
