@@ -57,7 +57,7 @@ class Bloom:
 
 @dataclass
 class Repeated:
-    """``filters``: (shard, part, bits) rows; ``hashes``: the repeated hashes themselves, some of them false."""
+    """``filters``: (shard, part, bits) rows; ``hashes``: the repeated hashes themselves, some of them false, some more than once."""
 
     filters: DataFrame
     hashes: DataFrame
@@ -108,8 +108,8 @@ def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = seen.has(keys)
             seen.add(keys[~known])
             found = keys[(known | repeated)]
-            found = found[~more.has(found)]
-            more.add(found)
+            # What the filter has by mistake is still to be named, so all are named, each time.
+            more.add(found[~more.has(found)])
             out.append(found.view(np.int64))
             out_shard.append(np.full(len(found), s, np.int32))
         if out:

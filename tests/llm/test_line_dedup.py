@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from fernmark.llm import line_dedup, repeats
 from tests.llm.fixtures import WHITE, documents, empty, lower, rows_of, sha
@@ -34,6 +35,16 @@ def test_beyond_the_broadcast(spark, monkeypatch):
     assert result(line_dedup.dedup_lines(docs, min_docs=10)) == brute(rows_of(docs), 10)
 
 
+def test_mistakes_of_the_filter_are_named(monkeypatch):
+    """A twice-seen filter that has almost everything: repeated hashes are named nevertheless."""
+    monkeypatch.setattr(repeats, "_BITS", 1)
+    h = np.arange(1, 5001, dtype=np.int64)
+    parts = [h[k : k + 500] for k in range(0, len(h), 500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(p), pa.array(np.ones(len(p), bool))], ["shard", "h", "twice"]) for p in parts]
+    named = {x for b in repeats._filter(iter(batches)) for x in b.column(1).to_pylist() if x is not None}
+    assert named == set(h.tolist())
+
+
 def test_keep_first_and_empty(spark):
     docs = spark.createDataFrame([(k, "Same line\nown %d" % k) for k in range(4)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.dedup_lines(docs, min_docs=2, keep_first=True))}
