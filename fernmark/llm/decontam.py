@@ -3,31 +3,33 @@
 An item is hit where a document holds one of its windows: ten consecutive words
 (all its words if it has fewer). As sets of words, a window must be contained
 whole, so the prefix that has to be joined is one word: the rarest, by how often
-the documents have the benchmark's words. Documents' words that are prefix words
-give alignments of an item to a document (the place of the word, less its place
-in the item); an alignment stands if the window lies within the document, and is
-verified word by word in the document itself.
+the documents have the benchmark's words. A prefix word in a document says where
+a window would start (its place less its place in the window, positional bound)
+and how long it would be (length bound: it must lie within the document). The
+words that stand there are then compared, all of them, with the windows by a
+join, once for each place of a document however many items are possible there.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and all characters over
 U+007F.
 
 Defined cases: null and empty texts have no words, as items none can occur and
 as documents none is hit; repeated items count by their ids; repeated rows and
-null ids of documents are judged each, rows that share an id by their own text;
-an empty benchmark hits nothing; other columns are ignored.
+null ids of documents are judged each, rows that share an id by their own text
+(rows are told apart by 128 bits of id and text); an empty benchmark hits
+nothing; very long texts are tested at each place once; ids may be of any type
+that casts to a string; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from fernmark.llm._common import broadcast_if_small, materialize, table
+from fernmark.llm._common import broadcast_if_small, materialize, row_key, table, under, without
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most rows (a word, or a word and its places) of the benchmark's tables that are broadcast.
+#: Most rows (a word and its place, a window with its items, a hit document) that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -37,43 +39,61 @@ def words_of(text: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
-def _windows(items: DataFrame, n: int) -> DataFrame:
-    """item, first (its place in the item), words of each window."""
+def _windows(benchmark: DataFrame, n: int, item_col: str, item_text_col: str) -> DataFrame:
+    """Each distinct window (an array of words), and the sorted ids of its items."""
+    words = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     last = F.greatest(F.size("words") - n, F.lit(0))
-    rows = items.where(F.size("words") > 0).select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("first"))
-    return rows.select("item", "first", F.slice("words", F.col("first") + 1, F.lit(n)).alias("window"))
+    rows = words.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("first"))
+    return rows.select("item", F.slice("words", F.col("first") + 1, F.lit(n)).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("its"))
 
 
-def decontaminate(
+def _rarest(words: DataFrame, windows: DataFrame) -> DataFrame:
+    """The prefixes: (word, offset in its window, length of the window), the rarest word of each window by the documents' counts."""
+    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
+    counts = words.select(F.explode("words").alias("word")).join(broadcast_if_small(vocabulary, MAX_BROADCAST_ROWS), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "counts")
+    placed = windows.select("window", F.posexplode("window").alias("offset", "word")).join(broadcast_if_small(counts, MAX_BROADCAST_ROWS), "word", "left")
+    # A window with a word that no document has can't occur.
+    first = placed.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("f")).where("f.n > 0")
+    return first.select("f.word", "f.offset", F.size("window").alias("length")).distinct()
+
+
+def hits(
     docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
+    """key (``row_key``), n_hit (words inside a window that occurs) and items (sorted) of the documents that are hit."""
+    windows = materialize(_windows(benchmark, n, item_col, item_text_col), "windows")
+    rows = docs.select(row_key(id_col, text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
+    prefix = materialize(_rarest(rows, windows), "prefixes")
+    spot = F.col("at") - F.col("offset")
+    fits = (spot >= 0) & (spot + F.col("length") <= F.size("words"))
+    if under(prefix, MAX_BROADCAST_ROWS):
+        # The document's words are at hand in the row that found the prefix: nothing of a text is shuffled.
+        placed = rows.select("key", "words", F.posexplode("words").alias("at", "word")).join(F.broadcast(prefix), "word").where(fits)
+        tested = placed.select("key", spot.alias("start"), F.slice("words", F.greatest(spot + 1, F.lit(1)), F.col("length")).alias("window"))
+    else:
+        placed = rows.select("key", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "word")).join(prefix, "word")
+        starts = placed.where((spot >= 0) & (spot + F.col("length") <= F.col("n_words"))).groupBy("key").agg(F.collect_set(F.struct(spot.alias("start"), "length")).alias("tests"))
+        tested = rows.join(starts, "key").select("key", "words", F.explode("tests").alias("t")).select("key", "t.start", F.slice("words", F.col("t.start") + 1, F.col("t.length")).alias("window"))
+    found = tested.join(F.broadcast(windows) if under(windows, MAX_BROADCAST_ROWS) else windows, "window")
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("end"))))
+    by_row = materialize(found.groupBy("key").agg(spans.alias("spans"), F.collect_set("its").alias("its")), "hits")
+    zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto"))
+    union = F.aggregate("spans", zero, lambda a, s: F.struct((a["covered"] + F.greatest(s["end"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("covered"), F.greatest(a["upto"], s["end"]).alias("upto")))
+    return by_row.select("key", union["covered"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("its"))).alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_words, n_hit (words inside a window that occurs), items (sorted ids of the items hit)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0).distinct()
-    windows = materialize(_windows(items, n), "windows")
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(words_of(F.col(text_col))).alias("at", "word"))
+    found = hits(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    rows = rows.join(broadcast_if_small(found, MAX_BROADCAST_ROWS), "key", "left")
+    return rows.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    counts = words.select("word").join(broadcast_if_small(vocabulary, MAX_BROADCAST_ROWS), "word").groupBy("word").agg(F.count("*").alias("n"))
-    # The rarest word of each window; a window with a word that no document has can't occur.
-    placed = windows.select("item", "first", "window", F.posexplode("window").alias("offset", "word")).join(counts, "word", "left")
-    order = Window.partitionBy("item", "first", "window").orderBy(F.coalesce("n", F.lit(0)), "word", "offset")
-    prefix = placed.withColumn("rank", F.row_number().over(order)).where((F.col("rank") == 1) & F.col("n").isNotNull())
-    prefix = prefix.groupBy("word", "item", (F.col("first") + F.col("offset")).alias("place")).agg(F.collect_list(F.struct("first", "window")).alias("windows"))
-    prefix = materialize(prefix, "prefixes")
-
-    # An alignment: where the item's first word would be in the document.
-    hits = words.join(broadcast_if_small(prefix.select("word", "item", "place"), MAX_BROADCAST_ROWS), "word")
-    aligned = hits.select("id", "word", "item", "place", (F.col("at") - F.col("place")).alias("shift"))
-    aligned = aligned.join(broadcast_if_small(prefix, MAX_BROADCAST_ROWS), ["word", "item", "place"])
-    tests = aligned.select("id", "item", F.explode("windows").alias("w"), "shift").select("id", "item", (F.col("shift") + F.col("w.first")).alias("start"), F.col("w.window").alias("window"))
-    tests = tests.where("start >= 0").groupBy(F.col("id").alias("test_id")).agg(F.collect_set(F.struct("start", "item", "window")).alias("tests"))
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(tests, F.col("id").eqNullSafe(F.col("test_id")), "left")
-    rows = rows.select("id", words_of(F.col("text")).alias("words"), "tests")
-    fits = F.filter("tests", lambda t: (t["start"] + F.size(t["window"]) <= F.size("words")) & (F.slice("words", t["start"] + 1, F.greatest(F.size(t["window"]), F.lit(1))) == t["window"]))
-    rows = rows.select("id", F.size("words").cast("long").alias("n_words"), F.coalesce(fits, F.array().cast("array<struct<start:int,item:string,window:array<string>>>")).alias("found"))
-    hit = F.array_distinct(F.flatten(F.transform("found", lambda f: F.sequence(f["start"], f["start"] + F.size(f["window"]) - 1))))
-    return rows.select(F.col("id").alias(id_col), "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item"]))).alias("items"))
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that no item hits."""
+    return without(docs, hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("key"), id_col, text_col, MAX_BROADCAST_ROWS)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
