@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), computed once: a value used inside another lambda would be computed for each element there."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def doubles(a: Column) -> Column:
     return a.cast("array<double>")
 
@@ -19,8 +26,7 @@ def mean(a: Column) -> Column:
 
 
 def _moment(a: Column, k: int) -> Column:
-    m = mean(a)
-    return F.try_divide(_sum(F.transform(a, lambda v: F.pow(v - m, k))), F.size(a))
+    return bound(mean(a), lambda m: F.try_divide(_sum(F.transform(a, lambda v: F.pow(v - m, k))), F.size(a)))
 
 
 def std(a: Column) -> Column:
@@ -80,11 +86,29 @@ def transpose(matrix: Column) -> Column:
 
 def median_clipped(matrix: Column) -> Column:
     """Each row less its median, not below 0."""
-    return F.transform(matrix, lambda row: F.transform(row, lambda v: F.greatest(v - median(row), F.lit(0.0))))
+    return F.transform(matrix, lambda row: bound(median(row), lambda m: F.transform(row, lambda v: F.greatest(v - m, F.lit(0.0)))))
 
 
 def rms_normalised(matrix: Column) -> Column:
     """Divided by the root mean square of all elements."""
     flat = F.flatten(matrix)
     rms = F.sqrt(_sum(F.transform(flat, lambda v: v * v)) / F.size(flat))
-    return F.transform(matrix, lambda row: F.transform(row, lambda v: F.try_divide(v, rms)))
+    return bound(rms, lambda r: F.transform(matrix, lambda row: F.transform(row, lambda v: F.try_divide(v, r))))
+
+
+def features(a: Column, names: Sequence[str] = tuple(SUMMARIES)) -> Column:
+    """The named summaries of an array as one array, in that order."""
+    return F.array(*[SUMMARIES[n](a).cast("double") for n in names])
+
+
+def feature_vector(matrix: Column, names: Sequence[str] = tuple(SUMMARIES)) -> Column:
+    """The features of all rows of a matrix: all rows' first summary, then all rows' second, and so on."""
+    return F.flatten(F.array(*[F.transform(matrix, lambda row, n=n: SUMMARIES[n](row).cast("double")) for n in names]))
+
+
+def slice_times(matrix: Column, times: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The columns of a matrix at times in [start, end), and these times counted from ``start``."""
+    inside = lambda t: (t >= start) & (t < end)
+    chosen = F.filter(F.transform(times, lambda t, i: F.when(inside(t), i)), lambda i: i.isNotNull())
+    cut = F.transform(matrix, lambda row: F.transform(chosen, lambda i: F.get(row, i)))
+    return cut, F.transform(F.filter(times, inside), lambda t: t - start)

@@ -19,9 +19,12 @@ def latest(df: DataFrame, key: list[str], version: str) -> DataFrame:
     return newest.select(*key, "r.*").select(*df.columns)
 
 
-def missing_ids(df: DataFrame, id_col: str, stop: int) -> DataFrame:
-    """Ids of 0 to ``stop`` - 1 that no row has."""
+def missing_ids(df: DataFrame, id_col: str, stop: int | None = None) -> DataFrame:
+    """Ids from 0 to ``stop`` - 1, or to the largest there is, that no row has."""
     spark = df.sparkSession
+    if stop is None:
+        last = df.agg(F.max(id_col)).first()[0]
+        stop = 0 if last is None else last + 1
     return spark.range(stop).withColumnRenamed("id", id_col).join(df.select(id_col), id_col, "left_anti")
 
 

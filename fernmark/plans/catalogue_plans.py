@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernmark.functions import intervals
-from fernmark.operators import dedup, lookup, profile, sampling, search
+from fernmark.operators import dedup, evals, lookup, profile, sampling, search
 from fernmark.plans.registry import query, read
 
 
@@ -32,23 +32,25 @@ def left_joins_with_defaults(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey").join(n, "c_custkey", "left").join(done, "c_custkey", "left").fillna(0)
 
 
-@query("unmatched_keys", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("unmatched_keys", "SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def unmatched_keys(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return lookup.audit(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey")["left_only"]
+    """Documents without a label."""
+    return lookup.audit(read(spark, sf_dir, "documents").select("doc_id", "lang"), read(spark, sf_dir, "labels").select("doc_id"), "doc_id")["left_only"]
 
 
-@query("full_outer_audit", """WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey < 20), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey > 5)
-SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_customers, b.k IS NOT NULL AS in_suppliers FROM a FULL JOIN b ON a.k = b.k""")
+@query("full_outer_audit", """WITH a AS (SELECT DISTINCT floor(o_totalprice / 1000)::BIGINT AS k FROM orders), b AS (SELECT DISTINCT floor(s_acctbal / 100)::BIGINT AS k FROM supplier)
+SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_orders, b.k IS NOT NULL AS in_suppliers FROM a FULL JOIN b ON a.k = b.k""")
 def full_outer_audit(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0 and c_nationkey < 20").select(F.col("c_nationkey").alias("k")).distinct().withColumn("a", F.lit(True))
-    b = read(spark, sf_dir, "supplier").where("s_nationkey > 5").select(F.col("s_nationkey").alias("k")).distinct().withColumn("b", F.lit(True))
-    return lookup.audit(a, b, "k")["both"].select("k", F.coalesce("a", F.lit(False)).alias("in_customers"), F.coalesce("b", F.lit(False)).alias("in_suppliers"))
+    """Classes of two tables' amounts: those that either side lacks, and the common ones."""
+    a = read(spark, sf_dir, "orders").select(F.floor(F.col("o_totalprice") / 1000).alias("k")).distinct().withColumn("a", F.lit(True))
+    b = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_acctbal") / 100).alias("k")).distinct().withColumn("b", F.lit(True))
+    return lookup.audit(a, b, "k")["both"].select("k", F.coalesce("a", F.lit(False)).alias("in_orders"), F.coalesce("b", F.lit(False)).alias("in_suppliers"))
 
 
-@query("missing_ids", "SELECT r.k AS o_orderkey FROM range(0, 2000) r(k) WHERE r.k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)")
+@query("missing_ids", "WITH r AS (SELECT unnest(range(0, (SELECT max(doc_id) + 1 FROM labels))) AS k) SELECT k AS doc_id FROM r WHERE k NOT IN (SELECT doc_id FROM labels)")
 def missing_ids(spark, sf_dir):
-    return dedup.missing_ids(read(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0"), "o_orderkey", 2000)
+    """Every id up to the last one that no label has."""
+    return dedup.missing_ids(read(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("cascade_lookup", """SELECT p_partkey, coalesce(n1.n_name, n2.n_name, n3.n_name, '_UNK') AS n_name FROM part
@@ -210,8 +212,9 @@ def cumulative_share(spark, sf_dir):
 
 @query("median_order", "SELECT l_shipyear, median_price FROM (SELECT year(l_shipdate)::INT AS l_shipyear, round(median(l_extendedprice), 4) AS median_price FROM lineitem GROUP BY 1) ORDER BY median_price, l_shipyear LIMIT 5")
 def median_order(spark, sf_dir):
-    years = read(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("l_shipyear"))
-    return years.agg(F.round(F.median("l_extendedprice"), 4).alias("median_price")).orderBy("median_price", "l_shipyear").limit(5)
+    years = read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("l_shipyear"), "l_extendedprice")
+    found = evals.exact_quantiles(years, ["l_shipyear"], "l_extendedprice", {"median_price": 0.5})
+    return found.withColumn("median_price", F.round("median_price", 4)).orderBy("median_price", "l_shipyear").limit(5)
 
 
 @query("interval_algebra", """WITH i AS (SELECT p_partkey, p_size * 1.0 AS lo, p_size + p_partkey % 7 * 1.0 AS hi FROM part) SELECT p_partkey, 25 BETWEEN lo AND hi AS has25, lo <= 30 AND 20 <= hi AS overlaps, CASE WHEN lo <= 30 AND 20 <= hi THEN least(hi, 30) - greatest(lo, 20) END::DOUBLE AS shared,

@@ -125,7 +125,7 @@ def geo_smooth_counts(spark, sf_dir):
 
 @query("prior_predict", f"""WITH {_OBS}, b AS (SELECT DISTINCT {_sql_geohash('lat', 'lon', 7)} AS loc, week // 4 * 4 AS date_bin, checklist, event_type FROM obs),
 t AS (SELECT loc, date_bin, count(DISTINCT checklist) AS n FROM b GROUP BY ALL), s AS (SELECT loc, date_bin, event_type, count(DISTINCT checklist) AS n_present FROM b GROUP BY ALL),
-u AS (SELECT DISTINCT user_id, lat, lon FROM obs WHERE user_id % 10 = 0),
+u AS (SELECT DISTINCT user_id, lat, lon FROM obs),
 l AS (SELECT DISTINCT user_id, ((floor((lon + 180) / 360 * 32)::BIGINT + dx + 32) % 32) >> 1 AS x, (floor((lat + 90) / 180 * 16)::BIGINT + dy) >> 1 AS y
       FROM u, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE floor((lat + 90) / 180 * 16)::BIGINT + dy BETWEEN 0 AND 15),
 w AS (SELECT user_id, {_sql_cell('x', 'y', 7)} AS loc, d.date_bin FROM l, (SELECT unnest([0, 44]) AS date_bin) d),
@@ -136,7 +136,7 @@ def prior_predict(spark, sf_dir):
     obs = _obs(spark, sf_dir)
     binned = obs.select("checklist", "event_type", geo.geohash(F.col("lat"), F.col("lon"), 7).alias("loc"), dates.date_bin(F.col("week"), 4).alias("date_bin"))
     counts = priors.presence(binned, ["loc", "date_bin"], "checklist", "event_type")
-    points = obs.where("user_id % 10 = 0").select(F.col("user_id").alias("point"), "lat", "lon").distinct()
+    points = obs.select(F.col("user_id").alias("point"), "lat", "lon").distinct()
     locs, bins = geo.smooth(F.col("lat"), F.col("lon"), 7), dates.enclosing_bins(F.lit("2024-01-01").cast("date"), 4)
     return priors.predict(counts, locs, bins, points, "event_type").withColumn("p", F.round("p", 6))
 

@@ -114,9 +114,9 @@ def batch_knn(spark, sf_dir):
 
 
 @query("union_aligned", """SELECT label, count(*) AS n, -1::BIGINT AS n_low FROM embeddings GROUP BY label UNION ALL
-SELECT label, 0 AS n, count(*) AS n_low FROM embeddings WHERE vec_id < 100 GROUP BY label""")
+SELECT label, 0 AS n, count(*) AS n_low FROM embeddings WHERE embedding[1] < 0 GROUP BY label""")
 def union_aligned(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     a = rows.groupBy("label").agg(F.count("*").alias("n"))
-    b = rows.where("vec_id < 100").groupBy("label").agg(F.count("*").alias("n_low"))
+    b = rows.where(F.col("embedding")[0] < 0).groupBy("label").agg(F.count("*").alias("n_low"))
     return dedup.concat_aligned([a, b]).select("label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_low", F.lit(-1)).alias("n_low"))

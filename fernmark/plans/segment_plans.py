@@ -36,14 +36,14 @@ def merged_events(spark, sf_dir):
     return segments.events(_flags(spark, sf_dir), "user_id", "event_id", "flag", least=4, gap=1)
 
 
-@query("top_groups_then_rows", """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id <> 0 AND vec_id % 2 = 0),
+@query("top_groups_then_rows", """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id <> 0),
 s AS (SELECT DISTINCT label FROM e), t AS (SELECT label, round(-ln(1.0 / (2 + label)), 6) AS slp FROM s ORDER BY slp, label LIMIT 4),
 d AS (SELECT vec_id, label, slp, round(1 - list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS d_cosine FROM e JOIN t USING (label), q),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d_cosine, vec_id) AS rank FROM d) SELECT vec_id, label, slp, d_cosine FROM r WHERE rank <= 3 ORDER BY slp, d_cosine, vec_id LIMIT 12""")
 def top_groups_then_rows(spark, sf_dir):
     """ceil(12 / 3) likeliest labels among those that survive the filter, then rows of these only."""
     vectors = read(spark, sf_dir, "embeddings")
-    rows = vectors.where("vec_id % 2 = 0 and vec_id <> 0")
+    rows = vectors.where("vec_id <> 0")
     likely = rows.select("label").distinct().withColumn("p", F.lit(1.0) / (F.lit(2) + F.col("label"))).orderBy(F.desc("p"), "label").limit(4)
     found = search.nearest_per_group(rows, vectors.where("vec_id = 0"), "embedding", "vec_id", "label", 3, 12, likely)
     return found.select("vec_id", "label", "slp", "d_cosine")
