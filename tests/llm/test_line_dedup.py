@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from fernmark.llm import line_dedup, repeats
 from tests.llm.fixtures import WHITE, documents, empty, lower, rows_of, sha
@@ -28,21 +29,31 @@ def test_against_brute_force(spark):
         assert result(line_dedup.dedup_lines(docs, min_docs=least)) == brute(rows_of(docs), least)
 
 
-def test_beyond_the_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 5])
+def test_beyond_the_broadcast(spark, monkeypatch, most):
+    """Filters are probed by shard, and all repeated keys, or all but the most frequent, are joined."""
     monkeypatch.setattr(repeats, "MAX_BROADCAST_BYTES", 0)
-    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST_ROWS", most)
     docs = documents(spark)
-    assert result(line_dedup.dedup_lines(docs, min_docs=10)) == brute(rows_of(docs), 10)
+    for least in (2, 10):
+        assert result(line_dedup.dedup_lines(docs, min_docs=least)) == brute(rows_of(docs), least)
+    same = spark.createDataFrame([(k, "Same line\nown %d" % k) for k in range(4)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in rows_of(line_dedup.dedup_lines(same, min_docs=2, keep_first=True))} == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_long_lines_and_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{k}", "x" * 1_000_000 + "\n" + f"own {k}\n" * 50_000) for k in range(2)], "doc_id string, text string")
+    assert sorted(r["n_dropped"] for r in rows_of(line_dedup.dedup_lines(docs, min_docs=2))) == [1, 1]
 
 
-def test_mistakes_of_the_filter_are_named(monkeypatch):
-    """A twice-seen filter that has almost everything: repeated hashes are named nevertheless."""
-    monkeypatch.setattr(repeats, "_BITS", 1)
+def test_repeated_hashes_pass_a_crowded_filter(monkeypatch):
+    """With one bit a hash filters err often, but never against a repeated hash."""
+    monkeypatch.setattr(repeats, "BLOOM_BITS", 1)
     h = np.arange(1, 5001, dtype=np.int64)
-    parts = [h[k : k + 500] for k in range(0, len(h), 500)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(p), pa.array(np.ones(len(p), bool))], ["shard", "h", "twice"]) for p in parts]
-    named = {x for b in repeats._filter(iter(batches)) for x in b.column(1).to_pylist() if x is not None}
-    assert named == set(h.tolist())
+    parts = [h[k : k + 500] for k in range(0, len(h), 500)] * 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(p), pa.array(np.zeros(len(p), bool))], ["shard", "h", "twice"]) for p in parts]
+    bits = [b.column(2)[0].as_py() for b in repeats._filter(iter(batches))]
+    assert repeats.opened({}, {0: bits}, np.zeros(len(h), np.int64), h.view(np.uint64)).all()
 
 
 def test_keep_first_and_empty(spark):
