@@ -3,19 +3,30 @@
 A payload (here: the UTF-8 bytes of a text, padded with 255 to a positive
 multiple of ``unit`` bytes) is read as 8-bit samples. A rolling gear hash over
 the last 32 bytes cuts it: a chunk ends where the hash's top bits are zero,
-after ``MIN`` and at the latest after ``MAX`` bytes. Spark joins find digests
-that several documents have; of these only the document with the lowest id
-stores the bytes. The store is a Parquet table: one row for each document with
-its manifest (the ordered list of digests and lengths) and its own chunks.
-Reading joins foreign chunks back by digest, checks every digest, and rebuilds
-the payload.
+after ``MIN`` and at the latest after ``MAX`` bytes.
+
+The store has two Parquet tables. ``documents`` has one row for each document
+with its manifest (the ordered list of digests and lengths) and the chunks that
+no other document has. ``chunks`` has the others, each once: digests are counted,
+those that occur again go into a Bloom filter that all tasks get, and the chunks
+it lets pass move out of their documents; a join with the first place of each
+digest picks the one copy that is stored. A chunk that passes by mistake is
+stored outside its document, which changes nothing. So texts are never shuffled,
+only chunks that several documents have. Beyond ``MAX_FILTER_BYTES`` of filter
+documents are joined with their shared digests instead, by one shuffle of texts.
+
+Reading fetches the moved chunks by digest, once for each distinct manifest,
+checks the digest of every chunk, and rebuilds the payload. Hot digests and hot
+manifests meet in joins whose large side has no bytes of payload, which adaptive
+execution splits.
 
 ``media_bytes`` and ``media_sha256`` describe the stored form of one document:
 its manifest followed by its chunks in order, which depends on the text alone.
 
 Defined cases: null is the empty payload, so one unit of padding; repeated rows
-and repeated or null ids are stored each; an empty table gives an empty result;
-columns other than id and text are ignored.
+and repeated or null ids are stored each; very long texts are cut whole, and a
+document's payload has to fit a row; an empty table gives an empty result; ids may be
+of any type; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,15 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmark.llm._common import shared_path, table, under
+from fernmark.llm._common import materialize, pieces, row_key, shared_path, table
+from fernmark.llm.repeats import BLOOM_BITS, opened, send_filters, shard_filters
 
 MIN, MAX, AVERAGE_BITS = 256, 8192, 11
-#: Most rows of the table of shared chunks by document that is broadcast; a row has at most one entry for 256 bytes of text.
-MAX_BROADCAST_ROWS = 50_000
+#: Size of the filter of shared digests up to which all tasks get it.
+MAX_FILTER_BYTES = 64 << 20
+_KEYS_A_SHARD = 1 << 17
+_REMEMBERED = 1 << 18
+_BYTES_AT_ONCE = 8 << 20
 _GEAR = np.random.default_rng(7919).integers(0, 1 << 32, 256, np.uint32)
 #: Magic, bytes, padded bytes, chunks; and digest and length of each chunk.
 _HEAD, _ENTRY = "<4sQQI", "<32sI"
-STORE_SCHEMA = "id long, manifest binary, own array<binary>, shared array<struct<digest:binary,bytes:binary>>, foreign array<binary>"
 
 
 def cuts(payload: np.ndarray) -> list[int]:
@@ -82,95 +96,174 @@ def chunks_of(payload: bytes) -> list[tuple[bytes, bytes]]:
 
 
 def _digests(unit: int):
+    """The distinct digests of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = {d for d, _ in chunks_of(payload_of(text.as_py(), unit)[1])}
-                ids += [doc] * len(own)
-                digests += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["id", "digest"])
+            digests: list[bytes] = []
+            for text in batch.column(0):
+                digests += {d for d, _ in chunks_of(payload_of(text.as_py(), unit)[1])}
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary())], ["digest"])
 
     return run
 
 
-def _pack(unit: int):
+def _hashes(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, what the shard is drawn from) of digests."""
+    both = np.frombuffer(b"".join(d[:12] for d in digests), np.dtype([("h", "<u8"), ("s", ">u4")]))
+    return both["h"].astype(np.uint64), both["s"].astype(np.int64)
+
+
+def _keyed(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, s = _hashes(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array((s % shards).astype(np.int32)), pa.array(h.view(np.int64))], ["shard", "h"])
+
+    return run
+
+
+def _pack(unit: int, shards: int, sent):
+    """Rows (kind 0: id, manifest, own chunks, digests of moved ones) and, as kind 1, the moved chunks (digest, place, bytes).
+
+    With a filter (``sent``) it says what moves, otherwise the third column, the
+    shared digests of the document, does.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
-        kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), kind, pa.list_(pa.binary())]
+        from pyspark import TaskContext
+
+        filters: dict = {}
+        given: set[bytes] = set()  # chunks this task has handed out
+        place = TaskContext.get().partitionId() << 40
+        binary, many = pa.binary(), pa.list_(pa.binary())
         for whole in batches:
-            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                rows = []
-                for doc, text, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for batch in pieces(whole, _BYTES_AT_ONCE):
+                docs = []
+                for text in batch.column(1):
                     n, payload = payload_of(text.as_py(), unit)
-                    chunks = chunks_of(payload)
-                    manifest = struct.pack(_HEAD, b"CDC1", n, len(payload), len(chunks)) + b"".join(struct.pack(_ENTRY, d, len(c)) for d, c in chunks)
-                    owned = {k["digest"]: k["owned"] for k in known or ()}
+                    docs.append((n, len(payload), chunks_of(payload)))
+                every = list({d for _, _, chunks in docs for d, _ in chunks})
+                if sent is not None:
+                    h, s = _hashes(every)
+                    moves = {d for d, hit in zip(every, opened(filters, sent.value, s % shards, h)) if hit}
+                manifests, own, moved, loose = [], [], [], {}
+                for k, (n, size, chunks) in enumerate(docs):
+                    manifests.append(struct.pack(_HEAD, b"CDC1", n, size, len(chunks)) + b"".join(struct.pack(_ENTRY, d, len(c)) for d, c in chunks))
                     once = dict(chunks)
-                    own = [c for d, c in once.items() if d not in owned]
-                    shared = [{"digest": d, "bytes": c} for d, c in once.items() if owned.get(d)]
-                    rows.append((doc, manifest, own, shared, [d for d in once if owned.get(d) is False]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "manifest", "own", "shared", "foreign"])
+                    if sent is None:
+                        moves = set(batch.column(2)[k].as_py() or ())
+                    own.append([c for d, c in once.items() if d not in moves])
+                    moved.append([d for d in once if d in moves])
+                    loose |= {d: once[d] for d in moved[-1] if d not in given}
+                if len(given) > _REMEMBERED:
+                    given.clear()
+                given |= loose.keys()
+                n, m = len(docs), len(loose)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(manifests, binary), pa.array(own, many), pa.array(moved, many), pa.nulls(n, binary), pa.nulls(n, pa.int64()), pa.nulls(n, binary)], _PACKED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, batch.column(0).type), pa.nulls(m, binary), pa.nulls(m, many), pa.nulls(m, many), pa.array(list(loose), binary), pa.array(place + np.arange(m)), pa.array(list(loose.values()), binary)], _PACKED)
+                place += m
 
     return run
 
 
+_PACKED = ["kind", "id", "manifest", "own", "moved", "digest", "place", "bytes"]
+
+
 def write_media(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", unit: int = 576) -> None:
     """Store the payloads of ``docs`` below ``path``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digests = rows.mapInArrow(_digests(unit), "id long, digest binary")
-    # A null id is lower than any other and owns like any other.
-    owners = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id")).alias("owner")).where("n > 1").select("digest", F.col("owner.id").alias("owner"))
-    both = digests.join(owners, "digest").withColumn("owned", F.col("id").eqNullSafe(F.col("owner")))
-    known = both.groupBy(F.col("id").alias("known_id")).agg(F.collect_set(F.struct("digest", "owned")).alias("known"))
-    if under(known, MAX_BROADCAST_ROWS):
-        known = F.broadcast(known)
-    packed = rows.join(known, F.col("id").eqNullSafe(F.col("known_id")), "left").select("id", "text", "known")
-    packed.mapInArrow(_pack(unit), STORE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    spark = docs.sparkSession
+    digests = docs.select(F.col(text_col).alias("text")).mapInArrow(_digests(unit), "digest binary")
+    shared = materialize(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "digests")
+    n = shared.count()
+    shards = max(1, -(-n // _KEYS_A_SHARD))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<binary>").alias("known"))
+    sent = None
+    if n * BLOOM_BITS // 8 <= MAX_FILTER_BYTES:
+        sent = send_filters(shard_filters(shared.mapInArrow(_keyed(shards), "shard int, h long")))
+    else:
+        with_keys = docs.select(F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")).mapInArrow(_digests_by_key(unit), "key binary, digest binary")
+        known = with_keys.join(shared, "digest").groupBy("key").agg(F.collect_set("digest").alias("known"))
+        keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+        rows = keyed.join(known, "key", "left").select("id", "text", "known")
+    schema = f"kind int, id {dict(rows.dtypes)['id']}, manifest binary, own array<binary>, moved array<binary>, digest binary, place long, bytes binary"
+    packed = rows.mapInArrow(_pack(unit, shards, sent), schema)
+    packed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/packed")
+    loose = spark.read.schema(schema).parquet(f"{path}/packed").where("kind = 1")
+    first = loose.groupBy("digest").agg(F.min("place").alias("place"))
+    loose.join(first, ["digest", "place"]).select("digest", "bytes").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = spark._jvm.org.apache.hadoop.fs.Path
+    if files.exists(made(f"{path}/packed/kind=0")):
+        files.rename(made(f"{path}/packed/kind=0"), made(f"{path}/documents"))
+    else:  # there are no documents
+        packed.limit(0).select(*_STORED).write.parquet(f"{path}/documents")
+    files.delete(made(f"{path}/packed"), True)
+
+
+_STORED = ["id", "manifest", "own", "moved"]
+
+
+def _digests_by_key(unit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, digests = [], []
+            for text, key in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = {d for d, _ in chunks_of(payload_of(text.as_py(), unit)[1])}
+                keys += [key] * len(own)
+                digests += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests, pa.binary())], ["key", "digest"])
+
+    return run
+
+
+_FACTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_chunks long, feature string"
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_chunks", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    """Rows (id or key, manifest, own, fetched): what is known of each payload."""
+    names = ["id", *(f.split()[0] for f in _FACTS.split(", "))]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     for whole in batches:
         for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
             rows = []
-            for r in batch.to_pylist():
-                magic, n, size, count = struct.unpack_from(_HEAD, r["manifest"])
-                have = {hashlib.sha256(c).digest(): c for c in r["own"]} | {x["digest"]: x["bytes"] for x in r["shared"]}
-                for x in r["fetched"] or ():
-                    if hashlib.sha256(x["bytes"]).digest() != x["digest"]:
-                        raise ValueError(f"a chunk of {r['id']} differs from its digest")
-                    have[x["digest"]] = x["bytes"]
-                entries = [struct.unpack_from(_ENTRY, r["manifest"], struct.calcsize(_HEAD) + k * struct.calcsize(_ENTRY)) for k in range(count)]
+            for manifest, own, fetched in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                magic, n, size, count = struct.unpack_from(_HEAD, manifest)
+                have = {hashlib.sha256(c).digest(): c for c in (*own, *(fetched or ()))}
+                entries = [struct.unpack_from(_ENTRY, manifest, struct.calcsize(_HEAD) + k * struct.calcsize(_ENTRY)) for k in range(count)]
+                if lacking := {d for d, _ in entries} - have.keys():
+                    raise ValueError(f"of the chunks of a payload {len(lacking)} are missing or differ from their digests")
                 payload = b"".join(have[d] for d, _ in entries)
                 if magic != b"CDC1" or len(payload) != size or any(len(have[d]) != s for d, s in entries):
-                    raise ValueError(f"the chunks of {r['id']} don't make up its payload")
+                    raise ValueError("chunks don't make up their payload")
                 samples = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                 share = samples / size
                 mean = float(share @ np.arange(256))
                 deviation = float(share @ (np.arange(256) - mean) ** 2) ** 0.5
                 share = share[share > 0]
                 feature = f"mean={mean:.3f};std={deviation:.3f};entropy={-float(share @ np.log2(share)):.3f};peak={int(samples.argmax())}"
-                media = hashlib.sha256(r["manifest"])
+                media = hashlib.sha256(manifest)
                 media.update(payload)
-                rows.append((r["id"], n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(r["manifest"]) + size, media.hexdigest(), count, feature))
+                rows.append((n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(manifest) + size, media.hexdigest(), count, feature))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
     """Rebuild and verify every payload of a store; sizes, digests and a feature of each."""
-    store = spark.read.schema(STORE_SCHEMA).parquet(path)
-    whole = store.where(F.size("foreign") == 0)
-    parts = store.where(F.size("foreign") > 0).withColumn("key", F.sha2("manifest", 256))
-    chunks = store.where(F.size("shared") > 0).select(F.explode("shared").alias("c")).select("c.digest", "c.bytes").dropDuplicates(["digest"])
-    wanted = parts.select("id", "key", F.explode("foreign").alias("digest")).distinct()
-    fetched = wanted.join(chunks, "digest").groupBy(F.col("id").alias("f_id"), F.col("key").alias("f_key")).agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
-    parts = parts.join(fetched, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
-    cols = ["id", "manifest", "own", "shared", "fetched"]
-    every = whole.withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>")).select(cols).unionByName(parts.select(cols))
-    return every.mapInArrow(_rebuild, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_chunks long, feature string")
+    store = spark.read.parquet(f"{path}/documents")
+    chunks = spark.read.schema("digest binary, bytes binary").parquet(f"{path}/chunks")
+    kind = dict(store.dtypes)["id"]
+    whole = store.where(F.size("moved") == 0).select("id", "manifest", "own", F.lit(None).cast("array<binary>").alias("fetched"))
+    parts = store.where(F.size("moved") > 0).withColumn("key", F.sha2("manifest", 256))
+    # Copies have one manifest, so they are rebuilt once.
+    distinct = parts.dropDuplicates(["key"]).select("key", "manifest", "own", "moved")
+    wanted = parts.select("key", "moved").dropDuplicates(["key"]).select("key", F.explode("moved").alias("digest"))
+    fetched = wanted.join(chunks, "digest").groupBy("key").agg(F.collect_list("bytes").alias("fetched"))
+    rebuilt = distinct.join(fetched, "key", "left").select("key", "manifest", "own", "fetched").mapInArrow(_rebuild, "id string, " + _FACTS)
+    by_id = parts.select("id", "key").join(rebuilt.withColumnRenamed("id", "key"), "key").drop("key")
+    return whole.mapInArrow(_rebuild, f"id {kind}, " + _FACTS).unionByName(by_id)
 
 
 def media_column(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
