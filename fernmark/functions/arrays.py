@@ -103,7 +103,8 @@ def features(a: Column, names: Sequence[str] = tuple(SUMMARIES)) -> Column:
 
 def feature_vector(matrix: Column, names: Sequence[str] = tuple(SUMMARIES)) -> Column:
     """The features of all rows of a matrix: all rows' first summary, then all rows' second, and so on."""
-    return F.flatten(F.array(*[F.transform(matrix, lambda row, n=n: SUMMARIES[n](row).cast("double")) for n in names]))
+    of = lambda n: lambda row: SUMMARIES[n](row).cast("double")
+    return F.flatten(F.array(*[F.transform(matrix, of(n)) for n in names]))
 
 
 def slice_times(matrix: Column, times: Column, start: Column, end: Column) -> tuple[Column, Column]:

@@ -7,9 +7,11 @@ bits a character, padded with zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernmark.functions.arrays import bound
+
 #: The base-32 alphabet of geohashes. Fixed value.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 #: Mean radius of the earth in metres.
@@ -61,11 +63,14 @@ def geohash(lat: Column, lon: Column, bits: int) -> Column:
 def text_to_int(text: Column, bits: int) -> Column:
     """The first ``bits`` bits (at most 60) of a geohash text as a number; missing characters are zeros."""
     chars = -(-bits // 5)
-    padded = F.rpad(text, chars, "0")
-    value = F.lit(0).cast("long")
-    for k in range(chars):
-        value = value * 32 + F.position(F.substring(padded, k + 1, 1), F.lit(ALPHABET)).cast("long") - 1
-    return F.shiftright(value, chars * 5 - bits) if chars * 5 > bits else value
+
+    def number(padded: Column) -> Column:
+        value = F.lit(0).cast("long")
+        for k in range(chars):
+            value = value * 32 + F.position(F.substring(padded, k + 1, 1), F.lit(ALPHABET)).cast("long") - 1
+        return F.shiftright(value, chars * 5 - bits) if chars * 5 > bits else value
+
+    return bound(F.rpad(text, chars, "0"), number) if chars else F.lit(0).cast("long")
 
 
 def _int_axis(value: Column, bits: int, first: int) -> Column:
@@ -78,12 +83,13 @@ def _int_axis(value: Column, bits: int, first: int) -> Column:
 
 def cell_of_text(text: Column, bits: int) -> tuple[Column, Column]:
     value = text_to_int(text, bits)
-    return _int_axis(value, bits, 0), _int_axis(value, bits, 1)
+    return bound(value, lambda v: _int_axis(v, bits, 0)), bound(value, lambda v: _int_axis(v, bits, 1))
 
 
 def at_bits(text: Column, bits: int) -> Column:
     """A geohash cut to, or padded with zeros to, ``bits`` bits."""
-    return cell_text(*cell_of_text(text, bits), bits)
+    x, y = cell_of_text(text, bits)
+    return bound(F.struct(x.alias("x"), y.alias("y")), lambda c: cell_text(c["x"], c["y"], bits))
 
 
 def box(x: Column, y: Column, bits: int) -> dict[str, Column]:
@@ -130,3 +136,13 @@ def within_m(lat: Column, lon: Column, lat0: float, lon0: float, metres: float)
     """Within a distance of a point: a band of latitudes, which scans can prune by, then the distance."""
     band = metres / EARTH_RADIUS_M * 57.29577951308232
     return lat.between(lat0 - band, lat0 + band) & (haversine_m(lat, lon, F.lit(lat0), F.lit(lon0)) <= metres)
+
+
+def all_cells(spark: SparkSession, bits: int) -> DataFrame:
+    """Every cell of ``bits`` bits with its neighbours, itself among them: cell, around."""
+    if not 0 < bits <= 40:
+        raise ValueError("bits must be 1 to 40")
+    nx, ny = (1 << n for n in _axes(bits))
+    x, y = F.pmod("id", F.lit(nx)), F.expr(f"id div {nx}")
+    cells = spark.range(nx * ny).select(x.alias("x"), y.alias("y"))
+    return cells.select(cell_text(F.col("x"), F.col("y"), bits).alias("cell"), F.array_sort(F.transform(around(F.col("x"), F.col("y"), bits), lambda c: cell_text(c["x"], c["y"], bits))).alias("around"))

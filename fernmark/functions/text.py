@@ -163,3 +163,29 @@ def format_of(audio: Column) -> Column:
 
 def media_type(audio: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair]), format_of(audio))
+
+
+def is_noop(audio: Column, op: str) -> Column:
+    """Whether an operation would leave an id as it is: a transcoder plans these away."""
+    return with_operation(audio, op) == simplified(audio)
+
+
+def rewritten(text: Column, rules: dict[str, str]) -> Column:
+    """Regular expressions replaced one after another, as where the names of models' settings changed."""
+    return reduce(lambda c, rule: F.regexp_replace(c, *rule), rules.items(), text)
+
+
+def sha1_key(*parts: Column) -> Column:
+    """A key of several values; null counts as empty."""
+    return F.sha1(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
+
+
+def background_species(background: Column, codes: Column) -> Column:
+    """Entries such as "name (scientific name)" as the species' codes, by a map; unknown ones as they are, empty ones left out."""
+    trimmed = F.filter(F.transform(background, lambda b: F.trim(b)), lambda b: b != "")
+    return F.transform(trimmed, lambda b: F.coalesce(F.try_element_at(codes, F.regexp_extract(b, r"\(([^()]*)\)\s*$", 1)), b))
+
+
+def merged_unique(lists: Column) -> Column:
+    """The elements of several lists, each once, in the order in which they are first seen."""
+    return F.array_distinct(F.flatten(lists))

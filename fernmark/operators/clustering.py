@@ -16,15 +16,17 @@ def normalised(vectors: np.ndarray) -> np.ndarray:
 def merges(vectors: np.ndarray, method: str = "ward") -> list[tuple[int, int, float]]:
     """Merges (a, b, distance) by the Lance-Williams recurrence; the k-th makes cluster n + k."""
     n = len(vectors)
-    d = ((vectors[:, None] - vectors[None]) ** 2).sum(axis=2)
+    norms = np.einsum("ij,ij->i", vectors, vectors)
+    d = np.maximum(norms[:, None] + norms[None] - 2 * vectors @ vectors.T, 0)
     if method != "ward":
         d = np.sqrt(d)
     np.fill_diagonal(d, np.inf)
     name, size, out = list(range(n)), np.ones(n), []
     alive = np.ones(n, bool)
+    near = d.argmin(axis=1) if n else np.zeros(0, int)  # of each row, kept up to date: a merge looks at n numbers, not n * n
+    least = d[np.arange(n), near]
     for k in range(n - 1):
-        flat = int(np.argmin(d))
-        i, j = sorted(divmod(flat, n))
+        i, j = sorted((int(np.argmin(least)), int(near[np.argmin(least)])))
         dist = d[i, j]
         out.append((min(name[i], name[j]), max(name[i], name[j]), float(np.sqrt(dist) if method == "ward" else dist)))
         others = alive.copy()
@@ -39,6 +41,13 @@ def merges(vectors: np.ndarray, method: str = "ward") -> list[tuple[int, int, fl
         d[i, others] = d[others, i] = new
         d[j, :] = d[:, j] = np.inf
         alive[j], size[i], name[i] = False, a + b, n + k
+        least[j] = np.inf
+        stale = np.flatnonzero(alive & ((near == i) | (near == j)))
+        for r in {i, *stale.tolist()}:
+            near[r] = d[r].argmin()
+            least[r] = d[r, near[r]]
+        closer = np.flatnonzero(alive & ((d[:, i] < least) | ((d[:, i] == least) & (i < near))))
+        near[closer], least[closer] = i, d[closer, i]
     return out
 
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernmark.operators import search
+
 
 def classifier(config: str, features: str = "features", label: str = "label") -> Pipeline:
-    """From "[std-][ovr-]name[,key=value...]": nb, logreg, svm, rf; std scales first, ovr fits one against the rest."""
+    """From "[std-][ovr-]name[,key=value...]": nb, logreg, svm, rf; std scales first, ovr fits one against the rest.
+
+    ``knn_classify`` is the classifier without a fit.
+    """
     name, *options = config.split(",")
     settings = {k: float(v) if "." in v else int(v) for k, v in (o.split("=") for o in options)}
     stages = []
@@ -31,6 +36,41 @@ def classifier(config: str, features: str = "features", label: str = "label") ->
     return Pipeline(stages=[*stages, model])
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline, where every executor and session can read it."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def knn_classify(train: DataFrame, rows: DataFrame, vector: str, id_col: str, label: str, k: int) -> DataFrame:
+    """id, predicted, votes: the most frequent label of the ``k`` nearest rows of ``train``, ties to the lowest; a row is no neighbour of itself."""
+    near = search.batch_nearest(train, rows, vector, id_col, k).join(train.select(id_col, label), id_col)
+    votes = near.groupBy("q_id", label).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("q_id").agg(F.min(F.struct((-F.col("votes")).alias("m"), F.col(label).alias("predicted"))).alias("b"))
+    return best.select(F.col("q_id").alias(id_col), "b.predicted", (-F.col("b.m")).alias("votes"))
+
+
+def statistics(model: PipelineModel) -> list[dict]:
+    """Of the fitted classifier: a row for each tree (depth, nodes), class (weights that aren't 0, intercept) or class model."""
+    last = model.stages[-1]
+    parts = last.models if hasattr(last, "models") else [last]
+    out = []
+    for c, part in enumerate(parts):
+        if hasattr(part, "trees"):
+            out += [{"part": c, "kind": "tree", "k": k, "depth": t.depth, "nodes": t.numNodes} for k, t in enumerate(part.trees)]
+        elif hasattr(part, "coefficientMatrix"):
+            rows = part.coefficientMatrix.toArray()
+            out += [{"part": c, "kind": "linear", "k": k, "nonzero": int((rows[k] != 0).sum()), "intercept": float(part.interceptVector[k])} for k in range(len(rows))]
+        elif hasattr(part, "coefficients"):
+            out.append({"part": c, "kind": "linear", "k": c, "nonzero": int((part.coefficients.toArray() != 0).sum()), "intercept": float(part.intercept)})
+        else:
+            out.append({"part": c, "kind": type(part).__name__, "k": c})
+    return out
+
+
 def with_features(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(vector).cast("array<double>")))
 
@@ -40,6 +80,11 @@ def probabilities(predicted: DataFrame) -> DataFrame:
     return predicted.withColumn("p", vector_to_array("probability"))
 
 
+def variance_table(shares: list[float]) -> list[dict]:
+    """Components with their share of the variance, and the shares up to each."""
+    return [{"component": k, "share": s, "upto": sum(shares[: k + 1])} for k, s in enumerate(shares)]
+
+
 def pca_normalised(df: DataFrame, vector: str, k: int, out: str = "projected") -> tuple[DataFrame, list[float]]:
     """Scaled, projected to ``k`` components, unit length; and the components' shares of the variance."""
     stages = [StandardScaler(withMean=True, inputCol="features", outputCol="_s"), PCA(k=k, inputCol="_s", outputCol="_p"), Normalizer(inputCol="_p", outputCol="_n")]

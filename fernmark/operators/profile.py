@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fernmark.scratch import small
+
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``df`` itself, or an error that names what it lacks."""
@@ -64,5 +66,16 @@ def day_sections(df: DataFrame, ts: str, item: list[str], limit: int) -> DataFra
 def zero_filled(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Counts over every pair of values of two dimensions, 0 where there is none. For dimensions, not for ids."""
     counts = df.groupBy(a, b).agg(F.sum(value).alias(value))
-    grid = df.select(a).distinct().crossJoin(F.broadcast(df.select(b).distinct()))
+    grid = df.select(a).distinct().crossJoin(small(df.select(b).distinct()))
     return grid.join(counts, [a, b], "left").fillna(0, [value])
+
+
+def columns_once(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns, each once, where it is named first."""
+    return df.select(*dict.fromkeys(names))
+
+
+def arranged(df: DataFrame, *, rename: dict[str, str] | None = None, assign: dict[str, Column] | None = None, drop: Sequence[str] = (), first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
+    """Renamed, added and dropped columns, in an order: ``first``, the others as they were, ``last``."""
+    out = df.withColumnsRenamed(rename or {}).withColumns(assign or {}).drop(*drop)
+    return out.select(*first, *[c for c in out.columns if c not in (*first, *last)], *last)

@@ -57,3 +57,13 @@ def stratified_split(df: DataFrame, group: str, key: str, test_share: float, see
     order = w.orderBy(draw(key, seed), key)
     size = F.count("*").over(w)
     return df.withColumn("is_test", (size >= 2) & (F.row_number().over(order) <= F.ceil(size * test_share))).where(F.col(group).isNotNull())
+
+
+def batched(df: DataFrame, key: str, n: int, seed: str = "", name: str = "batch") -> DataFrame:
+    """Adds a batch number, 0 to ``n`` - 1, drawn by key: each batch is a random part, and one of them a subset. No shuffle."""
+    return df.withColumn(name, (F.conv(F.substring(draw(key, seed), 1, 8), 16, 10).cast("long") % n).cast("int"))
+
+
+def valid(df: DataFrame, size: str, megabytes: str, most: float = 100.0) -> DataFrame:
+    """Rows of recordings that have samples and aren't too large to load; unknown sizes are invalid."""
+    return df.where((F.col(size) != 0) & (F.col(megabytes) <= most))

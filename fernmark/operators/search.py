@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,11 +56,12 @@ class Query:
     extra: dict = field(default_factory=dict)
 
 
-def with_distances(candidates: DataFrame, query: DataFrame, vector: str, metrics: Sequence[str] = ("cosine",), digits: int = 6) -> DataFrame:
-    """Adds d_<metric> to the one row of ``query``, which goes to every task."""
-    one = F.broadcast(query.select(F.col(vector).alias("_q")).limit(1))
+def with_distances(candidates: DataFrame, query: DataFrame, vector: str, metrics: Sequence[str] = ("cosine",), digits: int = 6, norm: str | None = None) -> DataFrame:
+    """Adds d_<metric> to the one row of ``query``, which goes to every task with its norm; ``norm`` names a column that stores the candidates'."""
+    one = F.broadcast(query.select(F.col(vector).alias("_q"), vectors.norm(F.col(vector)).alias("_qn")).limit(1))
     rows = candidates.crossJoin(one)
-    return rows.select(*candidates.columns, *[F.round(vectors.DISTANCES[m](F.col(vector), F.col("_q")), digits).alias(f"d_{m}") for m in metrics])
+    own = {"norm_a": F.col(norm) if norm else None, "norm_b": F.col("_qn")}
+    return rows.select(*candidates.columns, *[F.round(vectors.DISTANCES[m](F.col(vector), F.col("_q"), **(own if m == "cosine" else {})), digits).alias(f"d_{m}") for m in metrics])
 
 
 def nearest(candidates: DataFrame, query: DataFrame, vector: str, id_col: str, n: int, metric: str = "cosine") -> DataFrame:
@@ -86,6 +89,59 @@ def nearest_per_group(candidates: DataFrame, query: DataFrame, vector: str, id_c
     return ranked.orderBy(*final).limit(n)
 
 
+def top_groups(candidates: DataFrame, query: DataFrame, vector: str, id_col: str, group: str, k: int, n: int, probabilities: DataFrame, metric: str = "cosine") -> DataFrame:
+    """The likeliest ceil(n / k) groups that candidates are left of, ``k`` nearest rows of each; of a lone group ``n`` rows."""
+    left = candidates.select(group).distinct().join(probabilities, group)
+    likely = left.orderBy(F.desc("p"), group).limit(-(-n // k))
+    lone = left.limit(2).count() == 1
+    return nearest_per_group(candidates, query, vector, id_col, group, n if lone else k, n, likely, metric)
+
+
+def _packed(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
+    """Blocks of about ``size`` rows: ids and vectors as two arrays."""
+    parts = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_b")).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vector).cast("array<double>").alias("v")))).alias("_r")).select("_r")
+
+
+def batch_nearest(rows: DataFrame, queries: DataFrame, vector: str, id_col: str, k: int, *, digits: int = 6, block: int = 4096) -> DataFrame:
+    """q_id, id, d_cosine, rank: the ``k`` nearest of ``rows`` to each of ``queries``, itself left out.
+
+    Rows and queries are packed into blocks of bounded size, and each pair of
+    blocks is one matrix product that returns its own first ``k`` of each query;
+    these are ranked once more. A vector of zeros is near nothing.
+    """
+    kind = dict(rows.dtypes)[id_col]
+    pairs = _packed(rows, id_col, vector, block).withColumnRenamed("_r", "rows").crossJoin(_packed(queries, id_col, vector, block).withColumnRenamed("_r", "queries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def opened(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+            ids, v = block.values.field(0), block.values.field(1)
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            return ids.to_numpy(zero_copy_only=False), np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+        for batch in batches:
+            for p in range(batch.num_rows):
+                (ids, x), (q_ids, q) = opened(batch.column(0)[p]), opened(batch.column(1)[p])
+                far = np.round(1 - q @ x.T, digits + 3)
+                far[q_ids[:, None] == ids[None, :]] = np.nan
+                found_q, found, found_d = [], [], []
+                for j, d in enumerate(far):
+                    real = np.flatnonzero(~np.isnan(d))
+                    d = np.round(d[real], digits) + 0.0
+                    if len(real) > k:
+                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        real, d = real[near], d[near]
+                    first = np.lexsort((ids[real], d))[:k]
+                    found_q.append(np.repeat(q_ids[j : j + 1], len(first)))
+                    found.append(ids[real[first]])
+                    found_d.append(d[first])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (found_q, found, found_d)], ["q_id", id_col, "d_cosine"])
+
+    near = pairs.mapInArrow(run, f"q_id {kind}, {id_col} {kind}, d_cosine double")
+    return top_k_per_group(near, ["q_id"], [F.col("d_cosine"), F.col(id_col)], k)
+
+
 def with_query_row(results: DataFrame, query: DataFrame, distances: Sequence[str]) -> DataFrame:
     """The query row first, at distance 0; columns it lacks are null."""
     q = query.limit(1).withColumns({d: F.lit(0.0) for d in distances}).withColumn("is_query", F.lit(True))

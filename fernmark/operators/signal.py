@@ -72,18 +72,30 @@ def quiet_runs(x: np.ndarray, window: int, threshold: float, least: int) -> list
     return [(int(a) * window, int(b) * window) for a, b in zip(edge[::2], edge[1::2]) if (b - a) * window >= least]
 
 
-def loudest_start(x: np.ndarray, rate: float, seconds: float, sigma: float = 1.0) -> float:
-    """Where a clip of ``seconds`` should start: the peak of the smoothed energy, early enough for a whole clip."""
-    hop = max(1, int(rate / 10))
-    n = len(x) // hop
-    if n < 1:
+def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
+    """A Gaussian filter that reaches four deviations; the ends are mirrored."""
+    reach = int(4 * sigma + 0.5)
+    if not reach or not len(x):
+        return x
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return np.convolve(np.pad(x, reach, mode="symmetric"), kernel / kernel.sum(), mode="valid")
+
+
+def thumbnail_start(x: np.ndarray, rate: float, *, seconds: float = 1.0, search: float = 10.0, sigma: float = 0.25, nperseg: int = NPERSEG, hop: int = HOP) -> float:
+    """Where a clip of ``seconds`` starts whose middle is the loudest moment of the first ``search`` seconds.
+
+    Loudness is the spectrum's sum over time, smoothed by ``sigma`` seconds; the
+    last ``seconds`` of it don't count, so that the clip is whole.
+    """
+    f, t, s = spectrogram(np.asarray(x[: int(search * rate)], float), rate, nperseg, hop)
+    if len(t) < 2:
         return 0.0
-    energy = (np.asarray(x[: n * hop], float).reshape(n, hop) ** 2).sum(axis=1)
-    half = int(3 * sigma * 10)
-    kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / (sigma * 10)) ** 2)
-    smooth = np.convolve(energy, kernel / kernel.sum(), mode="same") if n >= len(kernel) else energy
-    last = max(0, n - int(np.ceil(seconds * 10)))
-    return float(smooth[: last + 1].argmax()) / 10
+    per_second = 1 / (t[1] - t[0])
+    loud = smoothed(s.sum(axis=0), sigma * per_second).copy()
+    last = int(seconds * per_second)
+    if last:
+        loud[-last:] = 0
+    return float(np.clip(loud.argmax() / per_second - seconds / 2, 0, len(x) / rate))
 
 
 def mel_features(recordings: DataFrame, rate: float, *, id_col: str = "id", samples_col: str = "samples", n_mels: int = 40) -> DataFrame:
@@ -97,6 +109,17 @@ def mel_features(recordings: DataFrame, rate: float, *, id_col: str = "id", samp
     return rows.mapInPandas(run, "id long, mel array<array<double>>")
 
 
+def thumbnails(recordings: DataFrame, rate: float, *, id_col: str = "id", samples_col: str = "samples", **options) -> DataFrame:
+    """id and start: seconds at which each recording's thumbnail starts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "start": [thumbnail_start(np.asarray(x, float), rate, **options) for x in b["samples"]]})
+
+    rows = recordings.select(F.col(id_col).alias("id"), F.col(samples_col).cast("array<double>").alias("samples"))
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, start double").withColumnRenamed("id", id_col)
+
+
 def frames(df: DataFrame, value: str, order: str, key: str, size: int) -> DataFrame:
     """Sliding frames of rows by key: the relational form of ``functions.arrays.patches``."""
     from pyspark.sql.window import Window

@@ -22,6 +22,11 @@ def round_robin(df: DataFrame, group: list[str], order: list[Column], n: int) ->
     return ranked.orderBy("turn", *group).limit(n)
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds each row's place in an order, from 1. For lists that are cut already: their order is one window."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
 #: Orders of search results by name: direction by column, always ending in the newest id.
 def orders(id_col: str = "id") -> dict[str, list[Column]]:
     last = F.col(id_col).desc()

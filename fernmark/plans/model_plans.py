@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
-from fernmark.operators import clustering, evals, models, signal
+from fernmark import scratch
+from fernmark.operators import clustering, evals, models, projection, sampling, signal
 from fernmark.plans.registry import query, read
 from fernmark.streaming import aggregates
 
@@ -39,14 +40,32 @@ def pca_projection(spark, sf_dir):
 
 @query("classifier_coverage")
 def classifier_coverage(spark, sf_dir):
-    """Coverage errors of a naive Bayes classifier over the labels."""
-    rows = models.with_features(_vectors(spark, sf_dir), "embedding")
-    fitted = models.classifier("nb").fit(rows)
-    found = models.probabilities(fitted.transform(rows))
+    """Coverage errors of a naive Bayes classifier over labels, on the fifth of the rows that it wasn't fitted on."""
+    rows = sampling.stratified_split(_vectors(spark, sf_dir), "label", "vec_id", 0.2, "t")
+    rows = models.with_features(rows, "embedding")
+    fitted = models.classifier("nb").fit(rows.where("not is_test"))
+    found = models.probabilities(fitted.transform(rows.where("is_test")))
     classes = F.array(*[F.lit(k) for k in range(fitted.stages[-1].numClasses)])
     return found.select("vec_id", "label", evals.coverage_error(classes, F.col("p"), F.col("label")).alias("coverage"))
 
 
+@query("whitened_projection")
+def whitened_projection(spark, sf_dir):
+    """Products of whitened vectors with a dictionary of eight unit vectors, negative ones cut."""
+    dictionary = projection.fit_dictionary(_vectors(spark, sf_dir), "vec_id", "embedding", 8, retain=0.95)
+    found = projection.transformed(_vectors(spark, sf_dir), "embedding", partial(dictionary, rectify=True), "projected")
+    return found.select("vec_id", F.transform("projected", lambda v: F.round(v, 4)).alias("projected"))
+
+
+@query("thumbnail_starts")
+def thumbnail_starts(spark, sf_dir):
+    """Where thumbnails of tones start that are loudest at a time made from the part's size."""
+    sizes = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("id")).distinct()
+    loud = lambda x: F.exp(-F.pow(x / 2000 - F.col("id") / 10, 2) * 50)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(15999)), lambda x: F.sin(x * 1.5) * loud(x))
+    return signal.thumbnails(sizes.select("id", samples.alias("samples")), 2000.0)
+
+
 @query("mel_of_tones")
 def mel_of_tones(spark, sf_dir):
     """Mel spectra of tones, one for each part size: what band is loudest."""
@@ -64,13 +83,28 @@ def sliding_frames(spark, sf_dir):
     return found.select("user_id", "event_id", F.round(F.aggregate("frame", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
+def _event_stream(spark, sf_dir, *columns):
+    """The events file as a stream: file streams take folders, and it is one file beside others."""
+    schema = read(spark, sf_dir, "events").select(*columns).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _finished(spark, result, label):
+    """The last snapshot of a stream that took all there is; results stay in files, not on the driver."""
+    path, log = scratch.path(spark, label), scratch.path(spark, label + "-log")
+    result.writeStream.outputMode("complete").option("checkpointLocation", log).foreachBatch(aggregates.keep_result(path)).trigger(availableNow=True).start().awaitTermination()
+    return aggregates.last_result(spark, path)
+
+
 @query("stream_daily_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
     """The final state of a stream over the events file."""
-    schema = read(spark, sf_dir, "events").select("event_id", "ts", "event_type").schema
-    # A file stream takes folders, and the events are one file beside others.
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = _event_stream(spark, sf_dir, "event_id", "ts", "event_type")
     counts = aggregates.daily_counts(raw.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
-    name = "daily_" + uuid.uuid4().hex
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("day").cast("string").alias("day"), "event_type", "n")
+    return _finished(spark, counts, "daily").select(F.col("day").cast("string").alias("day"), "event_type", "n")
+
+
+@query("stream_running_range", "SELECT user_id, min(value) AS low, max(value) AS high, count(*) AS n FROM events GROUP BY user_id")
+def stream_running_range(spark, sf_dir):
+    """Smallest and largest values so far, at the end of the stream."""
+    return _finished(spark, aggregates.running_range(_event_stream(spark, sf_dir, "user_id", "value"), "user_id", "value"), "range")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fernmark.functions import vectors
-from fernmark.operators import dedup, sampling, search, topk
+from fernmark.operators import dedup, models, sampling, search, topk
 from fernmark.plans.registry import query, read
 
 _D = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -105,12 +105,27 @@ def compare_queries(spark, sf_dir):
 FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d_cosine, vec_id) AS rank FROM d)
 SELECT q_id, vec_id, d_cosine, rank::INT AS rank FROM r WHERE rank <= 5""")
 def batch_knn(spark, sf_dir):
-    """Every fiftieth vector as a query, in one block against all rows."""
-    rows = _vectors(spark, sf_dir).select("vec_id", "embedding", vectors.norm(F.col("embedding")).alias("norm"))
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = rows.crossJoin(F.broadcast(queries)).where("vec_id <> q_id")
-    pairs = pairs.select("q_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q"), F.col("norm"), F.col("q_norm")), 6).alias("d_cosine"))
-    return topk.top_k_per_group(pairs, ["q_id"], [F.col("d_cosine"), F.col("vec_id")], 5)
+    """Every fiftieth vector as a query against all rows, block by block."""
+    rows = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    return search.batch_nearest(rows, rows.where("vec_id % 50 = 0"), "embedding", "vec_id", 5)
+
+
+@query("knn_vote", f"""WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), d AS (SELECT a.vec_id AS q_id, a.label AS truth, b.vec_id, b.label, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS d_cosine
+FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d_cosine, vec_id) AS rank FROM d),
+v AS (SELECT q_id, truth, label, count(*) AS votes FROM r WHERE rank <= 5 GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, label) AS n FROM v) SELECT q_id AS vec_id, truth, label AS predicted, votes FROM w WHERE n = 1""")
+def knn_vote(spark, sf_dir):
+    """Every fiftieth vector classified by its five nearest neighbours."""
+    rows = _vectors(spark, sf_dir).select("vec_id", "label", "embedding")
+    found = models.knn_classify(rows, rows.where("vec_id % 50 = 0"), "embedding", "vec_id", "label", 5)
+    return found.join(rows.select("vec_id", F.col("label").alias("truth")), "vec_id").select("vec_id", "truth", "predicted", "votes")
+
+
+@query("one_group_search", f"""WITH {_DIST} SELECT vec_id, label, d_cosine FROM d WHERE label = 3 ORDER BY d_cosine, vec_id LIMIT 12""")
+def one_group_search(spark, sf_dir):
+    """A filter that leaves one label: as many rows as asked for, not the few of a label among several."""
+    rows = _vectors(spark, sf_dir).where("vec_id <> 0 and label = 3")
+    found = search.top_groups(rows, _one(spark, sf_dir), "embedding", "vec_id", "label", 3, 12, _probabilities(spark, sf_dir))
+    return found.select("vec_id", "label", "d_cosine")
 
 
 @query("union_aligned", """SELECT label, count(*) AS n, -1::BIGINT AS n_low FROM embeddings GROUP BY label UNION ALL

@@ -44,8 +44,8 @@ def top_groups_then_rows(spark, sf_dir):
     """ceil(12 / 3) likeliest labels among those that survive the filter, then rows of these only."""
     vectors = read(spark, sf_dir, "embeddings")
     rows = vectors.where("vec_id <> 0")
-    likely = rows.select("label").distinct().withColumn("p", F.lit(1.0) / (F.lit(2) + F.col("label"))).orderBy(F.desc("p"), "label").limit(4)
-    found = search.nearest_per_group(rows, vectors.where("vec_id = 0"), "embedding", "vec_id", "label", 3, 12, likely)
+    likely = rows.select("label").distinct().withColumn("p", F.lit(1.0) / (F.lit(2) + F.col("label")))
+    found = search.top_groups(rows, vectors.where("vec_id = 0"), "embedding", "vec_id", "label", 3, 12, likely)
     return found.select("vec_id", "label", "slp", "d_cosine")
 
 

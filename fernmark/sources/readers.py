@@ -128,6 +128,12 @@ class PagedJson(DataSource):
         return _PagesReader(schema, self.options)
 
 
+def paged_json(spark: SparkSession, url: str, pages: int) -> DataFrame:
+    """Rows of a paged service; ``url`` has {page}."""
+    spark.dataSource.register(PagedJson)
+    return spark.read.format("paged_json").option("pages", pages).load(url)
+
+
 def snapshots(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Catalogue snapshots in files; the newest file's row of each key wins."""
     from fernmark.operators.dedup import latest
@@ -136,6 +142,11 @@ def snapshots(spark: SparkSession, path: str, schema: str, key: str) -> DataFram
     return latest(rows, [key], "_file").drop("_file")
 
 
+def tag_json(version: Column, species: Column, quality: Column, edits: Column) -> Column:
+    """What ``tag_metadata`` reads."""
+    return F.to_json(F.struct(version.alias("version"), species.alias("species"), quality.alias("quality"), edits.alias("edits")))
+
+
 def tag_metadata(tags: str = "tags") -> Column:
     """Versioned JSON in a file's tags, as a struct with defaults for what is missing."""
     parsed = F.from_json(tags, "version int, species string, quality string, edits array<struct<clips: array<struct<time: struct<lo: double, hi: double>, gain: double>>>>")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from hashlib import sha1
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -17,7 +19,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def materialize(spark: SparkSession, root: str, name: str, version: str, build: Callable[[], DataFrame], *, refresh: bool = False, only_read: bool = False) -> DataFrame:
     """The Parquet table of a name and version: built if its _SUCCESS marker is missing, or if asked."""
     path = f"{root}/{name}/{version}"
-    if refresh or not _exists(spark, f"{path}/_SUCCESS"):
+    if refresh or not exists(spark, f"{path}/_SUCCESS"):
         if only_read:
             raise FileNotFoundError(path)
         build().write.mode("overwrite").parquet(path)
@@ -61,19 +63,79 @@ def trimmed(dim: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return dim.join(used.select(key).distinct(), key, "left_semi")
 
 
+_SQLITE = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON."""
+    return df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))})
+
+
+def _fill(db: sqlite3.Connection, table: str, columns: list[tuple[str, str]], rows: Iterable[tuple]) -> None:
+    db.execute(f"DROP TABLE IF EXISTS {table}")
+    db.execute(f"CREATE TABLE {table} ({', '.join(f'{c} {_SQLITE.get(t, 'TEXT')}' for c, t in columns)})")
+    db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(columns))})", rows)
+    db.commit()
+
+
+def sqlite_files(df: DataFrame, path: str, table: str, *, rows_a_file: int = 1_000_000) -> None:
+    """SQLite databases made by the tasks, each of at most ``rows_a_file`` rows: a Parquet table (part, n, database).
+
+    Nothing passes through the driver; ``open_sqlite`` reads one of them.
+    """
+    rows = _plain(df)
+    columns = rows.dtypes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: list[tuple] = []
+        made = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made
+            with sqlite3.connect(":memory:") as db:
+                _fill(db, table, columns, held)
+                out = pa.RecordBatch.from_pydict({"part": [f"{TaskContext.get().partitionId()}-{made}"], "n": [len(held)], "database": [db.serialize()]})
+            held.clear()
+            made += 1
+            return out
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                if len(held) == rows_a_file:
+                    yield flush()
+        if held:
+            yield flush()
+
+    rows.mapInArrow(run, "part string, n long, database binary").write.mode("overwrite").parquet(path)
+
+
+def open_sqlite(database: bytes) -> sqlite3.Connection:
+    """A database of ``sqlite_files`` in memory."""
+    db = sqlite3.connect(":memory:")
+    db.deserialize(database)
+    return db
+
+
 def sqlite(df: DataFrame, path: str, table: str, *, max_rows: int = 5_000_000) -> int:
-    """A SQLite file on the driver's disk, for devices; rows stream through the driver one partition at a time.
+    """One SQLite file on the driver's disk, for a device; rows stream through the driver one partition at a time.
 
-    Binary and text columns stay, nested ones become JSON. A device's table is
-    small by nature: more than ``max_rows`` rows are an error.
+    A device's table is small by nature: for more than ``max_rows`` rows there is ``sqlite_files``.
     """
     n = df.count()
     if n > max_rows:
-        raise ValueError(f"{n} rows; a device's table has at most {max_rows}")
-    rows = df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))})
-    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+        raise ValueError(f"{n} rows in one file of at most {max_rows}; sqlite_files writes several")
+    rows = _plain(df)
     with sqlite3.connect(path) as db:
-        db.execute(f"DROP TABLE IF EXISTS {table}")
-        db.execute(f"CREATE TABLE {table} ({', '.join(f'{c} {kinds.get(t, 'TEXT')}' for c, t in rows.dtypes)})")
-        db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(rows.columns))})", (tuple(r) for r in rows.toLocalIterator()))
+        _fill(db, table, rows.dtypes, (tuple(r) for r in rows.toLocalIterator()))
     return n
+
+
+def sampled(spark: SparkSession, path: str, key: str, per_cent: int, root: str, seed: str = "") -> DataFrame:
+    """A hash sample of a Parquet table, written once below ``root`` and read from there."""
+    from fernmark.operators.sampling import sample_share
+
+    name = f"sample-{per_cent}-{seed}-" + sha1(path.encode()).hexdigest()[:12]
+    return materialize(spark, root, name, key, lambda: sample_share(spark.read.parquet(path), key, per_cent, seed))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,27 +34,48 @@ def upsert_latest(path: str, key: str, version: str) -> Callable[[DataFrame, int
 
 
 class OnlineSphericalKMeans:
-    """For ``foreachBatch``: unit centres that move to each batch's vectors, weighted by how often they were hit."""
+    """For ``foreachBatch``: unit centres that move to each batch's vectors, weighted by how often they were hit.
 
-    def __init__(self, centres: np.ndarray):
+    With ``path`` the centres are written after each batch, and a new object goes
+    on where the last one stopped; a batch that was counted is not counted again.
+    """
+
+    def __init__(self, centres: np.ndarray, path: str | None = None):
         self.centres, self.hits = np.asarray(centres, float), np.ones(len(centres))
+        self.path, self.last = path, -1
 
-    def update(self, x: np.ndarray) -> None:
-        best = (x @ self.centres.T).argmax(axis=1)
-        total, n = np.zeros_like(self.centres), np.bincount(best, minlength=len(self.centres))
-        np.add.at(total, best, x)
+    def _move(self, total: np.ndarray, n: np.ndarray) -> None:
         moved = (self.centres * self.hits[:, None] + total) / (self.hits + n)[:, None]
         self.hits = self.hits + n
         norm = np.linalg.norm(moved, axis=1, keepdims=True)
         self.centres = moved / np.where(norm > 0, norm, 1)
 
+    def update(self, x: np.ndarray) -> None:
+        """One batch at hand."""
+        best = (x @ self.centres.T).argmax(axis=1)
+        total = np.zeros_like(self.centres)
+        np.add.at(total, best, x)
+        self._move(total, np.bincount(best, minlength=len(self.centres)))
+
+    def restore(self, spark: SparkSession) -> None:
+        """The state of the last batch that was written to ``path``."""
+        rows = spark.read.parquet(self.path).orderBy(F.desc("batch")).limit(1).collect()
+        if rows and rows[0]["batch"] > self.last:
+            self.last, self.hits = rows[0]["batch"], np.array(rows[0]["hits"])
+            self.centres = np.array(rows[0]["centres"]).reshape(len(self.hits), -1)
+
     def __call__(self, batch: DataFrame, number: int) -> None:
         """One pass of the batch's tasks: sums and counts by centre come back, not rows."""
+        from fernmark.sources.sinks import exists
+
+        spark = batch.sparkSession
+        if self.path and self.last < 0 and exists(spark, self.path):
+            self.restore(spark)
+        if number <= self.last:
+            return
         centres = self.centres
 
         def sums(frames):
-            import pandas as pd
-
             total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
             for f in frames:
                 if len(f):
@@ -64,8 +86,25 @@ class OnlineSphericalKMeans:
             yield pd.DataFrame({"total": [total.ravel().tolist()], "n": [n.tolist()]})
 
         made = batch.select(F.col("v").cast("array<double>").alias("v")).mapInPandas(sums, "total array<double>, n array<long>").toPandas()
-        total, n = np.sum(np.stack(made["total"]), axis=0).reshape(centres.shape), np.sum(np.stack(made["n"]), axis=0)
-        moved = (centres * self.hits[:, None] + total) / (self.hits + n)[:, None]
-        self.hits = self.hits + n
-        norm = np.linalg.norm(moved, axis=1, keepdims=True)
-        self.centres = moved / np.where(norm > 0, norm, 1)
+        if len(made):
+            self._move(np.sum(np.stack(made["total"]), axis=0).reshape(centres.shape), np.sum(np.stack(made["n"]), axis=0))
+        self.last = number
+        if self.path:
+            row = [(number, self.hits.tolist(), self.centres.ravel().tolist())]
+            spark.createDataFrame(row, "batch long, hits array<double>, centres array<double>").coalesce(1).write.mode("append").parquet(self.path)
+
+
+def keep_result(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream in complete mode: the result so far, as a Parquet table of numbered snapshots."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return write
+
+
+def last_result(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot below ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    return spark.read.parquet(f"{path}/{max(int(f.getPath().getName()) for f in found)}")
