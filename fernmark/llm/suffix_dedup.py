@@ -13,12 +13,16 @@ string at offset o if both their classes agree.
 A context (what a string can hold around an anchor) that occurs often is sent
 once by each task with a count. Gram groups of more than ``MAX_GROUP`` contexts
 are split by ranges of the offset: all strings of a range hold a longer core in
-common, whose hash splits the group; a range of one offset is only counted.
+common, whose hash splits the group. What is left in a range of one offset holds
+one string throughout, so there is nothing to sort: it is counted by the string's
+hash of 128 bits, as are contexts and rows told apart.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep every
 byte, though they are compared like all; repeated rows and repeated or null ids
-are documents of their own; an empty table gives an empty result; other columns
-are ignored. Removal may cut inside a UTF-8 character: the result is bytes.
+are documents of their own; very long texts are read in overlapping pieces; an
+empty table gives an empty result; ids may be of any type that casts to a string;
+other columns are ignored. Removal may cut inside a UTF-8 character: the result
+is bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernmark.llm._common import broadcast_if_small, materialize, table
+from fernmark.llm._common import broadcast_if_small, materialize, pieces, row_key, table, under
 from fernmark.llm.deep_shallow import sort_group
 
 GRAM = 64
@@ -40,9 +44,9 @@ GRAM = 64
 MAX_GROUP = 20_000
 #: Most rows (16 to 40 bytes) that are broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
-#: Anchors of a gram from which on it is dealt to several tasks.
+#: Anchors of a gram, or places of a context, from which on it may be dealt to several tasks.
 HOT = 10_000
-_SALTS = 64
+_MOST_SALTS = 1 << 16
 _CHUNK = 1 << 20
 _PIECE = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
@@ -131,9 +135,8 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy()
             for which, place, h in anchors_of(_texts(batch.column(1)), length):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid[which]), pa.array(place.astype(np.int32))], ["g", "rid", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(which)), pa.array(place.astype(np.int32))], ["g", "rid", "pos"])
 
     return run
 
@@ -141,10 +144,10 @@ def _anchor_rows(length: int):
 def _contexts(length: int):
     """For each anchor (rid, pos, c), and once for each flush the context c itself with its count."""
     names = ["kind", "c", "g", "rid", "pos", "n", "cut", "ctx"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[bytes, list] = {}
         room = 0
 
         def flush() -> pa.RecordBatch:
@@ -158,7 +161,7 @@ def _contexts(length: int):
                     pos, g = found["pos"], found["g"]
                     low = max(0, pos - (length - GRAM))
                     ctx = text[low : pos + length]
-                    c = xxhash.xxh3_64_intdigest(ctx, seed=g & 0xFFFFFFFF ^ (pos - low)) - (1 << 63)
+                    c = xxhash.xxh3_128_digest(ctx, seed=g & 0xFFFFFFFF ^ (pos - low))
                     rows.append((0, c, g, rid, pos, None, None, None))
                     if c in held:
                         held[c][1] += 1
@@ -219,23 +222,23 @@ def repeated_offsets(contexts: list[tuple[int, bytes]], counts: np.ndarray, grou
 
 
 def _sort(length: int):
-    """Rows (key, low, high, c, n, cut, ctx), sorted by key: (c, least, most) of those that occur elsewhere."""
+    """Rows (key, low, high, c, n, cut, ctx), sorted by key: (c, least, most, n) of those that occur elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple, list] = {}  # (key, c) -> [low, high, n, cut, ctx]
+        rows: dict[tuple[bytes, bytes], list] = {}  # (key, c) -> [low, high, n, cut, ctx]
         key = None
         room = 0
 
         def solve() -> pa.RecordBatch:
             kept = list(rows.items())
-            by_key: dict[int, list[int]] = {}
+            by_key: dict[bytes, list[int]] = {}
             for i, ((k, _), _) in enumerate(kept):
                 by_key.setdefault(k, []).append(i)
             counts = np.array([r[2] for _, r in kept], np.int64)
             low, high = np.array([r[0] for _, r in kept]), np.array([r[1] for _, r in kept])
             least, most = repeated_offsets([(r[3], r[4]) for _, r in kept], counts, list(by_key.values()), low, high, length)
             found = np.flatnonzero(most >= 0)
-            return pa.RecordBatch.from_arrays([pa.array([kept[i][0][1] for i in found], pa.int64()), pa.array(least[found].astype(np.int32)), pa.array(most[found].astype(np.int32))], ["c", "least", "most"])
+            return pa.RecordBatch.from_arrays([pa.array([kept[i][0][1] for i in found], pa.binary()), pa.array(least[found].astype(np.int32)), pa.array(most[found].astype(np.int32)), pa.array(counts[found])], ["c", "least", "most", "n"])
 
         for batch in batches:
             for r in zip(*(col.to_pylist() for col in batch.columns)):
@@ -266,25 +269,26 @@ def _split(length: int, parts: int = 8):
                     start, stop = cut - a, cut + length - (b - 1)  # what strings of offsets a .. b - 1 share
                     if cut - a < 0 or len(ctx) - cut < length - (b - 1):
                         continue  # no string of this part lies within the text
-                    out.append((xxhash.xxh3_64_intdigest(ctx[start:stop], seed=a) - (1 << 63), a, b, c, n, cut, ctx))
+                    out.append((xxhash.xxh3_128_digest(ctx[start:stop], seed=a), a, b, c, n, cut, ctx))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), batch.schema.types)], batch.schema.names)
 
     return run
 
 
-_GROUP_SCHEMA = "key long, low int, high int, c long, n long, cut int, ctx binary"
+_GROUP_SCHEMA = "key binary, low int, high int, c binary, n long, cut int, ctx binary"
+_OFFSETS = "c binary, least int, most int, n long"
 
 
 def _solve(groups: DataFrame, length: int, max_group: int) -> DataFrame:
-    """(c, least, most) for contexts in groups; groups that are too large are split until they aren't."""
+    """(c, least, most, n) for contexts in groups; groups that are too large are split until they aren't."""
     done, level = [], 0
     while True:
         sizes = groups.groupBy("key").agg(F.count("*").alias("rows"))
         hot = materialize(sizes.where(F.col("rows") > max_group).select("key"), "hot")
         some_hot = not hot.isEmpty()
         rest = groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_anti") if some_hot else groups
-        done.append(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "c long, least int, most int"))
+        done.append(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), _OFFSETS))
         if not some_hot:
             break
         large = groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_semi").select(*groups.columns)
@@ -293,63 +297,82 @@ def _solve(groups: DataFrame, length: int, max_group: int) -> DataFrame:
         # A range of one offset: all rows of a key hold the same string, so they are counted, not sorted.
         single = groups.where("high - low = 1")
         total = single.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
-        done.append(single.join(total, "key", "left_semi").select("c", F.col("low").alias("least"), F.col("low").alias("most")))
+        done.append(single.join(total, "key", "left_semi").select("c", F.col("low").alias("least"), F.col("low").alias("most"), "n"))
         groups = groups.where("high - low > 1")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.groupBy("c").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return out.groupBy("c").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n").alias("n"))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "spans"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    for whole in batches:
-        for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
-            rows = []
-            for doc, text, found in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist()):
-                spans: list[list[int]] = []
-                for r in sorted(found or (), key=lambda r: r["start"]):
-                    if spans and r["start"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r["end"])
-                    else:
-                        spans.append([r["start"], r["end"]])
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                left = b"".join([*kept, text[at:]])
-                rows.append((doc, len(text), len(text) - len(left), len(spans), left, hashlib.sha256(left).hexdigest(), [{"start": a, "end": b} for a, b in spans]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+def _often(counted: DataFrame) -> int:
+    """The least count, HOT or more, that at most MAX_BROADCAST_ROWS rows of ``counted`` (n) reach."""
+    steps = [HOT * 4**k for k in range(24)]
+    many = counted.agg(*[F.count(F.when(F.col("n") >= s, 1)) for s in steps]).first()
+    return next(s for s, n in zip(steps, many) if n <= MAX_BROADCAST_ROWS)
+
+
+def _spanned(places: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``places`` (c, rid, pos) with the offsets of ``repeats``: by a broadcast of all, or of the frequent ones before the others are shuffled."""
+    if under(repeats, MAX_BROADCAST_ROWS):
+        return places.join(F.broadcast(repeats), "c")
+    least = _often(repeats)
+    known = places.join(F.broadcast(repeats.where(F.col("n") >= least)), "c", "left")
+    rest = known.where("least is null").select(*places.columns).join(repeats.where(F.col("n") < least), "c")
+    return known.where("least is not null").unionByName(rest)
+
+
+def _remove(with_bytes: bool):
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: 5 + 2 * with_bytes]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, 8 << 20, 1000):
+                rows = []
+                for text, found in zip(_texts(batch.column(1)), batch.column(2).to_pylist()):
+                    spans: list[list[int]] = []
+                    for r in sorted(found or (), key=lambda r: r["start"]):
+                        if spans and r["start"] <= spans[-1][1]:
+                            spans[-1][1] = max(spans[-1][1], r["end"])
+                        else:
+                            spans.append([r["start"], r["end"]])
+                    kept, at = [], 0
+                    for a, b in spans:
+                        kept.append(text[at:a])
+                        at = b
+                    left = b"".join([*kept, text[at:]])
+                    rows.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left, [{"start": a, "end": b} for a, b in spans]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))][: len(names)], names)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256, spans."""
+def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, with_bytes: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, unless ``with_bytes`` is off, kept (bytes) and spans."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"))
-    found = rows.select("rid", "text").mapInArrow(_anchor_rows(length), "g long, rid long, pos int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid"))
+    found = rows.select("rid", "text").mapInArrow(_anchor_rows(length), "g long, rid binary, pos int")
     repeated = materialize(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    # Anchors of hot grams are dealt to many tasks; there are at most a HOT-th as many of these grams as anchors.
-    hot = F.broadcast(repeated.where(F.col("n") >= HOT).select("g", F.lit(True).alias("hot")))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid", "pos"), F.lit(_SALTS)) + 1).otherwise(0)
-    dealt = found.join(hot, "g", "left").withColumn("salt", salt)
-    salts = F.when(F.col("n") >= HOT, F.sequence(F.lit(1).cast("long"), F.lit(_SALTS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    wanted = repeated.select("g", F.explode(salts).alias("salt"))
+    # Anchors of frequent grams are dealt to as many tasks as their count asks for.
+    hot = F.broadcast(repeated.where(F.col("n") >= _often(repeated)).select("g", F.least(F.ceil(F.col("n") / HOT), F.lit(_MOST_SALTS)).alias("salts")))
+    dealt = found.join(hot, "g", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rid", "pos"), F.col("salts")), F.lit(0)))
+    wanted = repeated.select("g").join(hot, "g", "left").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     candidates = dealt.join(wanted, ["g", "salt"], "left_semi").select("g", "rid", "pos")
     places = candidates.groupBy("rid").agg(F.collect_set(F.struct("pos", "g")).alias("at"))
     around = rows.select("rid", "text").join(places, "rid").select("rid", "text", "at")
-    around = materialize(around.mapInArrow(_contexts(length), "kind int, c long, g long, rid long, pos int, n long, cut int, ctx binary"), "contexts")
-    groups = around.where("kind = 1").select(F.col("g").alias("key"), F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high"), "c", "n", "cut", "ctx")
+    around = materialize(around.mapInArrow(_contexts(length), "kind int, c binary, g long, rid binary, pos int, n long, cut int, ctx binary"), "contexts")
+    groups = around.where("kind = 1").select(F.unhex(F.hex("g")).alias("key"), F.lit(0).alias("low"), F.lit(length - GRAM + 1).alias("high"), "c", "n", "cut", "ctx")
     repeats = materialize(_solve(groups, length, max_group), "offsets")
-    spans = around.where("kind = 0").select("c", "rid", "pos").join(broadcast_if_small(repeats, MAX_BROADCAST_ROWS), "c")
+    spans = _spanned(around.where("kind = 0").select("c", "rid", "pos"), repeats)
     spans = spans.select("rid", F.struct((F.col("pos") - F.col("most")).cast("long").alias("start"), (F.col("pos") + length - F.col("least")).cast("long").alias("end")).alias("span"))
     spans = spans.groupBy(F.col("rid").alias("its")).agg(F.collect_set("span").alias("spans"))
     joined = rows.join(spans, F.col("rid") == F.col("its"), "left").select("id", "text", "spans")
-    out = joined.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("id", id_col)
+    schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * with_bytes
+    return joined.mapInArrow(_remove(with_bytes), schema).withColumnRenamed("id", id_col)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)

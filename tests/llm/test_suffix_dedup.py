@@ -30,6 +30,24 @@ def test_split_groups(spark, most, monkeypatch):
     check(suffix_dedup.remove_repeats(docs, length=120, max_group=most), docs, length=120)
 
 
+def test_frequent_grams_and_contexts(spark, monkeypatch):
+    """Anchors of a gram dealt to several tasks; of the repeated contexts the frequent ones are broadcast, the others joined."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    rng = random.Random(5)
+    passages = ["".join(rng.choices("abcdefgh ", k=500)) for _ in range(3)]
+    docs = spark.createDataFrame([(k, "".join(rng.choices("xyz ", k=rng.randint(0, 50))) + passages[0 if k < 20 else 1 + k % 2] + f"own {k} " * 9) for k in range(26)], "doc_id long, text string")
+    for most in (1_000_000, 6):
+        monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST_ROWS", most)
+        check(suffix_dedup.remove_repeats(docs, length=120), docs, length=120)
+
+
+def test_text_ids_and_no_bytes(spark):
+    docs = spark.createDataFrame([("a", "long " * 300), ("b", "long " * 300), (None, "c")], "doc_id string, text string")
+    got = suffix_dedup.remove_repeats(docs, with_bytes=False)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r["doc_id"]: r["n_removed"] for r in rows_of(got)} == {"a": 1500, "b": 1500, None: 0}
+
+
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
