@@ -24,15 +24,18 @@ Equal sets are one node. The members of a signature meet in the block of its
 centre, the member that is most like others, so that the signatures of a group
 of near copies share one block, and any two sets with a common signature share a
 block. A block verifies on the whole sets, all of them against each other as a
-matrix product, and returns only a spanning forest of its links; a large block
-is dealt to chunks, and pairs of chunks to tasks.
+matrix product, and returns only a spanning forest of its links. A large block
+is dealt to chunks, each with the centre; only members that aren't tied to it
+meet the other chunks.
 
 Shingles are 64-bit hashes, which is where "exact" ends.
 
 Defined cases: null and empty texts, and texts of white space only, have no
 shingle and link with nothing; rows that share an id stay nodes of their own
-texts; a null id has a null component unless linked; an empty table gives an
-empty result; other columns are ignored.
+texts (rows are told apart by 128 bits of id and text); a null id has a null
+component unless linked; very long texts are shingled whole, one text at a time;
+an empty table gives an empty result; ids may be of any orderable type that
+casts to a string; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernmark.llm._common import broadcast_if_small, materialize, table
+from fernmark.llm._common import broadcast_if_small, materialize, row_key, table, without
 from fernmark.llm.components import components
 from fernmark.llm.shingles import Sets, chunks, mix, shingle_sets
 
@@ -53,8 +56,11 @@ from fernmark.llm.shingles import Sets, chunks, mix, shingle_sets
 MAX_COSTS = 400_000
 #: Most signatures, nodes or pairs (8 to 16 bytes each) that are broadcast.
 MAX_BROADCAST_ROWS = 2_000_000
-#: Sets of a block that are verified in one task.
+#: Sets of a block, and shingles of these, that are verified in one task.
 BLOCK = 1024
+TOKENS = 1 << 23
+#: Kinds of groups that are verified.
+WHOLE, CHUNK = -1, -2
 #: Documents with a shingle from which on its signatures skip the count.
 HOT = 1000
 _FLUSH = 1 << 21
@@ -155,14 +161,15 @@ def _first_pass(n: int):
         names = ["kind", "id", "rid", "n", "node"]
         held: list[np.ndarray] = []
         room = 0
+        kind = pa.null()
 
         def flush() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(tokens.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.nulls(len(tokens), kind), pa.nulls(len(tokens), pa.binary()), pa.array(counts.astype(np.int64)), pa.array(tokens.view(np.int64))], names)
 
         for batch in batches:
-            at = 0
+            at, kind = 0, batch.column(0).type
             for some in chunks(batch.column(2).to_pylist()):
                 sets = shingle_sets(some, n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), pa.array(sets.sizes), pa.array(set_hashes(sets).view(np.int64))], names)
@@ -181,6 +188,7 @@ def _first_pass(n: int):
 def _sign(n: int, percent: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
+        seen: set[int] = set()  # rows alike in id and text are told apart by nothing: one of a task signs
 
         def cost_of(tokens: np.ndarray) -> np.ndarray:
             if not len(known):
@@ -193,19 +201,30 @@ def _sign(n: int, percent: int, sent):
                 sets = shingle_sets(some, n)
                 nodes = set_hashes(sets).view(np.int64)
                 owner, keys, cost = signatures(sets, percent, cost_of)
+                fresh = _fresh(seen, nodes)[owner]
+                owner, keys, cost = owner[fresh], keys[fresh], cost[fresh]
                 salt = np.where(cost >= HOT, nodes[owner] % 4096 + 1, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[owner]), pa.array(salt)], ["key", "node", "salt"])
 
     return run
 
 
+def _fresh(seen: set[int], nodes: np.ndarray) -> np.ndarray:
+    """Which nodes were not seen before; they are from now on (of the last million or so)."""
+    if len(seen) > 1 << 20:
+        seen.clear()
+    return np.array([k not in seen and not seen.add(k) for k in nodes.tolist()], bool)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for some in chunks(batch.column(0).to_pylist()):
                 sets = shingle_sets(some, n)
+                nodes = set_hashes(sets).view(np.int64)
                 blobs = [sets.tokens[a:b].tobytes() for a, b in zip(sets.offsets[:-1], sets.offsets[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_hashes(sets).view(np.int64)), pa.array(blobs, pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(blobs, pa.binary())], ["node", "tokens"]).filter(pa.array(_fresh(seen, nodes)))
 
     return run
 
@@ -251,20 +270,44 @@ def linked(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> li
     return out
 
 
+def _unlinked(n: int, pairs: list[tuple[int, int]], centre: int) -> list[int]:
+    """Which of ``n`` sets no chain of links ties to the centre."""
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    seen, stack = {centre}, [centre]
+    while stack:
+        for x in near.get(stack.pop(), ()):
+            if x not in seen:
+                seen.add(x)
+                stack.append(x)
+    return [k for k in range(n) if k not in seen]
+
+
 def _link(percent: int):
-    """Rows (center, i, j, node, side, tokens), sorted by group: links (u, v) within each group."""
+    """Rows (center, i, j, node, side, tokens), sorted by group: links (u, v) within each group, as kind 0.
+
+    j says what a group is: WHOLE, a block; CHUNK, a part of one with its centre,
+    whose members that aren't tied to the centre come back as kind 1 (center,
+    node, part); otherwise a part (side 0) and some such members of others (side 1).
+    """
+    names = ["kind", "u", "v", "part"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sides, sets = None, [], [], []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
 
         def solve() -> None:
-            if len(nodes) > 1:
-                cross = np.array(sides) if key[1] != key[2] else None
-                out.extend((nodes[a], nodes[b]) for a, b in linked(sets, cross, percent))
+            center, i, j = key
+            pairs = linked(sets, np.array(sides) if j >= 0 else None, percent) if len(nodes) > 1 else []
+            out.extend((0, nodes[a], nodes[b], 0) for a, b in pairs)
+            if j == CHUNK:
+                out.extend((1, center, nodes[k], i) for k in _unlinked(len(nodes), pairs, nodes.index(center)))
 
         def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["u", "v"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, kinds)], names)
             out.clear()
             return made
 
@@ -276,6 +319,8 @@ def _link(percent: int):
                         solve()
                         nodes, sides, sets = [], [], []
                     key = now
+                if nodes and nodes[-1] == batch.column(3)[k].as_py():
+                    continue  # the set of another row alike in id and text
                 nodes.append(batch.column(3)[k].as_py())
                 sides.append(batch.column(4)[k].as_py())
                 sets.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
@@ -287,6 +332,42 @@ def _link(percent: int):
     return run
 
 
+def _ship(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """What ``_link`` finds in groups (center, i, j, node, side)."""
+    groups = broadcast_if_small(materialize(groups, "groups"), MAX_BROADCAST_ROWS // 4)
+    shipped = sets.join(groups, "node").select("center", "i", "j", "node", "side", "tokens").repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "node")
+    return materialize(shipped.mapInArrow(_link(percent), "kind int, u long, v long, part int"), "links")
+
+
+def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that tie together all similar sets of each block; ``blocks``: center, node, n (its size).
+
+    A block of more than BLOCK sets, or of more than TOKENS shingles, is dealt to
+    chunks, and each chunk, with the centre, is verified by itself. Members tied to
+    the centre are in one component then. Only members that aren't have to meet the
+    other chunks, so work is linear in a group of near copies; it grows with the
+    square of the members that are unlike their centre.
+    """
+    parts = blocks.groupBy("center").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / TOKENS)).cast("int").alias("parts")).where("parts > 1")
+    parts = broadcast_if_small(materialize(parts, "parts"), MAX_BROADCAST_ROWS)
+    dealt = blocks.select("center", "node").join(parts, "center", "left")
+    dealt = materialize(dealt.select("center", "node", "parts", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("int").alias("part")), "dealt")
+    whole = F.when(F.col("parts").isNull(), WHOLE).otherwise(CHUNK)
+    members = dealt.select("center", F.col("part").alias("i"), whole.alias("j"), "node", F.lit(0).alias("side"))
+    everywhere = dealt.where("node = center and parts > 1").select("center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), "part", "node")
+    everywhere = everywhere.where("i <> part").select("center", "i", F.lit(CHUNK).alias("j"), "node", F.lit(0).alias("side"))
+    made = _ship(sets, members.unionByName(everywhere), percent)
+    links = made.where("kind = 0").select("u", "v")
+    missed = made.where("kind = 1").select(F.col("u").alias("center"), F.col("v").alias("node"), "part")
+    if missed.isEmpty():
+        return links
+    some = broadcast_if_small(materialize(missed.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others")), "others"), MAX_BROADCAST_ROWS)
+    left = dealt.where("parts > 1").join(some, "center").select("center", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("j"), "node", F.lit(0).alias("side"))
+    right = missed.join(some, "center").join(parts, "center").withColumn("j", F.pmod(F.xxhash64("node"), F.col("others")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.where("i <> part").select("center", "i", "j", "node", F.lit(1).alias("side"))
+    return links.unionByName(_ship(sets, left.unionByName(right), percent).where("kind = 0").select("u", "v"))
+
+
 def _costs(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, at most MAX_COSTS, and their counts."""
     steps = [4**k for k in range(2, 20)]
@@ -298,11 +379,11 @@ def _costs(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["node"].to_numpy(np.int64).view(np.uint64)[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable over links of at least ``percent`` per cent)."""
+def components_of_rows(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, rid (``row_key``), n (shingles) and component (a number; null without shingles) of each row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
-    first = materialize(rows.mapInArrow(_first_pass(n), "kind int, id long, rid long, n long, node long"), "shingled")
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
+    first = materialize(rows.mapInArrow(_first_pass(n), f"kind int, id {dict(rows.dtypes)['id']}, rid binary, n long, node long"), "shingled")
     nodes = first.where("kind = 0").select("id", "rid", "n", "node")
     sent = spark.sparkContext.broadcast(_costs(first.where("kind = 1").select("node", "n")))
     # Of equal sets one signs.
@@ -322,30 +403,46 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     # The most typical member of a signature, with the largest share of signatures that others have, is its centre.
     rank = F.struct((F.col("count") / F.col("n")).alias("share"), F.col("node"))
     centers = members.groupBy("key").agg(F.max(rank).alias("c"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("c.node").alias("center"))
-    blocks = materialize(members.select("key", "node").join(centers, "key").select("center", "node").distinct(), "blocks")
+    blocks = materialize(members.select("key", "node", "n").join(centers, "key").select("center", "node", "n").distinct(), "blocks")
 
     wanted = blocks.select("node").distinct()
     ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("rid")).select("rid"), "ids")
     chosen = rows.select("rid", "text").join(broadcast_if_small(ids.distinct(), MAX_BROADCAST_ROWS), "rid", "left_semi")
     sets = materialize(chosen.select("text").mapInArrow(_sets(n), "node long, tokens binary"), "sets")
-
-    # Blocks of more than BLOCK sets are dealt to chunks, and pairs of chunks.
-    parts = blocks.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = blocks.join(parts, "center").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("center", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", (F.col("part") > F.col("other")).cast("int").alias("side"))
-    dealt = broadcast_if_small(materialize(dealt, "dealt"), MAX_BROADCAST_ROWS // 4)
-    shipped = sets.join(dealt, "node").select("center", "i", "j", "node", "side", "tokens").repartition("center", "i", "j").sortWithinPartitions("center", "i", "j", "node")
-    links = materialize(shipped.mapInArrow(_link(percent), "u long, v long"), "links")
+    links = block_links(sets, blocks, percent)
     found = materialize(components(links), "components")
 
-    labelled = nodes.where("n > 0").join(broadcast_if_small(found, MAX_BROADCAST_ROWS), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = labelled.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    out = labelled.join(broadcast_if_small(materialize(several, "several"), MAX_BROADCAST_ROWS), "component", "left")
-    out = out.select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
-    out = out.unionByName(nodes.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    labelled = nodes.join(broadcast_if_small(found, MAX_BROADCAST_ROWS), "node", "left")
+    return labelled.select("id", "rid", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
 
 
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable over links of at least ``percent`` per cent)."""
+    rows = components_of_rows(docs, id_col=id_col, **options)
+    # Groups of one row need no lookup; the others are aggregated before any shuffle, however large.
+    lowest = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    out = rows.join(broadcast_if_small(materialize(lowest, "several"), MAX_BROADCAST_ROWS), "component", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when each group of linked documents keeps one.
+
+    That is the one with the lowest id (a null id comes last); of rows alike in id
+    and text one stays, the least by its other columns, which have to be
+    orderable. Rows without shingles link with nothing, so all of them stay.
+    """
+    rows = materialize(components_of_rows(docs, id_col=id_col, text_col=text_col, **options).where("component is not null"), "labelled")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
+    several = rows.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("component", F.col("first.rid").alias("stays"))
+    grouped = rows.join(broadcast_if_small(materialize(several, "several"), MAX_BROADCAST_ROWS), "component")
+    kept = without(docs, grouped.where("rid <> stays").select("rid"), id_col, text_col, MAX_BROADCAST_ROWS)
+    repeated = materialize(grouped.where("rid = stays").groupBy("rid").count().where("count > 1").select("rid"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = broadcast_if_small(repeated.toDF("fernmark row key"), MAX_BROADCAST_ROWS)
+    same = row_key(id_col, text_col) == again["fernmark row key"]
+    one = kept.join(again, same, "left_semi").groupBy(row_key(id_col, text_col).alias("key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r"))
+    return kept.join(again, same, "left_anti").unionByName(one.select("r.*"))
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -38,6 +38,38 @@ def test_passages_shared_by_many(spark):
     check(spark, {k: " ".join(passage + [f"u{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 4, 8, 12, 40, 90]))]) for k in range(80)})
 
 
+@pytest.mark.parametrize("tokens", [1 << 23, 60])
+def test_blocks_by_centre(spark, monkeypatch, tokens):
+    """A large group whose members are near its centre but for some, which link with each other or with few; chunks by sets or by shingles."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "TOKENS", tokens)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    docs = {k: " ".join(edited(rng, base, 0.01)) for k in range(40)}
+    far = edited(rng, base, 0.04)  # half of its edits make a chain from the centre to texts that are unlike it
+    for k in range(40, 70):
+        docs[k] = " ".join(edited(rng, far, 0.02))
+    check(spark, docs)
+    alike = spark.createDataFrame([(None, docs[0])] * 30 + sorted(docs.items()), "doc_id long, text string")
+    assert ngram_join.jaccard_components(alike).count() == 30 + len(docs)
+
+
+def test_unlinked():
+    assert ngram_join._unlinked(6, [(0, 1), (1, 2), (3, 4)], 2) == [3, 4, 5]
+
+
+def test_keep_one(spark):
+    """Rows that share an id are told apart by their texts; of rows alike one stays; names of columns don't matter."""
+    a, b, near = (" ".join(f"{c}{k}" for k in range(50)) for c in "abn")
+    near = a.replace("a25", "other")
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, near, "x"), (None, b + " more", "x"), (5, "", "x"), (5, "", "x"), (6, None, "x"), (1, "solo one two three four five", "q"), (1, "solo one two three four five", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `fernmark` string").selectExpr("doc_id", "text", "fernmark as key", "fernmark as copies", "fernmark as component", "fernmark as rid")
+    got = sorted(((r["doc_id"], r["text"], r["key"]) for r in rows_of(ngram_join.keep_one(docs))), key=str)
+    want = sorted([(3, a, "x"), (7, b, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x"), (1, "solo one two three four five", "p")], key=str)
+    assert got == want and ngram_join.keep_one(docs).columns == docs.columns
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
 def test_frequent_short_texts(spark, monkeypatch):
     """Sets of 3 to 6 shingles whose shingles are hot, each with a variant that has one word more."""
     monkeypatch.setattr(ngram_join, "HOT", 16)
