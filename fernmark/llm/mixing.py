@@ -12,9 +12,11 @@ the same way, in a histogram of finish times, and is then one row that all
 others are compared with.
 
 Defined cases: a null text has size 0; a null source is the last source; a
-source without words has target 0 and takes nothing; rows alike in every column
-get alike results as far as the budget's end allows; an empty table gives an
-empty result; other columns are ignored.
+source without words has target 0 and takes nothing; ids may be null or repeated
+and of any orderable type that casts to a string, and rows that share an id are
+queued each; rows alike in every column get alike results as far as the budget's
+end allows; a very long text is one document, taken whole or not at all; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernmark.llm._common import broadcast_if_small, materialize, table
+from fernmark.llm._common import broadcast_if_small, materialize, row_key, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ROWS_A_BUCKET = 256
@@ -61,7 +63,32 @@ def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3)
 ) -> DataFrame:
     """id, source, size, source_size, target, copies, taken (= copies x size)."""
+    queued = _queue(docs.withColumn("fernmark row key", F.lit(None).cast("binary")), id_col, text_col, source_col, max_repeats, weights)
+    return queued.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The mix itself: each row of ``docs``, all columns, as often as it is taken.
+
+    Rows alike in id, text and source share what they are given: the least of them
+    by the other columns, which have to be orderable, stands for all.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).cast("binary")
+    key = F.concat(row_key(id_col, text_col), F.unhex(F.md5(source)))
+    queued = _queue(docs.withColumn("fernmark row key", key), id_col, text_col, source_col, max_repeats, weights)
+    mixed = materialize(queued.groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike")).where("copies > 0"), "copies")
+    # Only names made here stand beside the struct of the row, so none can clash.
+    rows = docs.select(key.alias("key"), F.struct(*columns).alias("row")).join(broadcast_if_small(mixed, 1_000_000), "key")
+    single = rows.where("alike = 1").select("row", "copies")
+    shared = rows.where("alike > 1").groupBy("key").agg(F.min("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
+    return single.unionByName(shared).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+
+
+def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_repeats: int, weights: tuple[int, ...]) -> DataFrame:
+    """key (the column "fernmark row key" of ``docs``), id, source, size, source_size, target and copies of each row."""
     sized = docs.select(
+        F.col("`fernmark row key`").alias("key"),
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -77,7 +104,7 @@ def mix_sources(
     before = sums.select("s", "bucket", (F.sum("n").over(Window.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = Window.partitionBy("s", "bucket").orderBy("k", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(inside)).join(before, ["s", "bucket"])
-    queued = materialize(rows.select("id", "source", "size", "source_size", "target", "s", "k", (F.col("before") + F.col("inside")).alias("upto")), "queued")
+    queued = materialize(rows.select("key", "id", "source", "size", "source_size", "target", "s", "k", (F.col("before") + F.col("inside")).alias("upto")), "queued")
 
     slots, last = 1 << bits, 4 << bits
     entries = queued.where("target > 0").withColumn("copy", F.explode(F.array(*map(F.lit, range(max_repeats))))).withColumn("finish", _finish(F.col("copy")))
@@ -95,8 +122,7 @@ def mix_sources(
         return F.when((F.col("target") > 0) & (F.col("end").isNull() | (mine < F.col("end"))), 1).otherwise(0)
 
     copies = sum((taken(c) for c in range(1, max_repeats)), taken(0))
-    out = queued.crossJoin(F.broadcast(end)).withColumn("copies", copies.cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return queued.crossJoin(F.broadcast(end)).withColumn("copies", copies.cast("int"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
