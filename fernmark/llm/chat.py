@@ -8,12 +8,15 @@ says, with its closing mark. DataFrame functions only.
 The result has one row for each perspective and turn, with the segment's place
 in the rendered dialogue, so a dialogue may be longer than a row may be;
 ``render`` joins the segments where a whole string is wanted. Places are running
-sums by blocks of 256 turns: no window holds a long conversation.
-
-Defined cases: a null or empty text is an empty turn; a null role speaks as
-"unknown"; null turns come first, turns with one number in the order of role and
-text; repeated rows are repeated turns; an empty table gives an empty result;
-other columns are ignored.
+sums by blocks of 256 turns: no window holds a long conversation. They are made
+of lengths alone; texts are shuffled once, before they are multiplied.
+
+Defined cases: a null or empty text is an empty turn, a very long one a segment
+of a row; a null role speaks as "unknown"; null turns come first (they are one
+block), turns with one number in the order of role and text; repeated rows are
+repeated turns; a null conversation is one of its own; an empty table gives an
+empty result; conversation ids may be of any type that casts to a string; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,44 +30,57 @@ from fernmark.llm._common import table
 TURNS_A_BLOCK = 256
 
 
+HEAD, END = "<|{}|>\n", "<|end|>\n"
+
+
+def _others_head(who: Column) -> Column:
+    """How others see a turn's head."""
+    return F.when(who == "system", F.lit(HEAD.format("system"))).otherwise(F.concat(F.lit("<|user name="), who, F.lit("|>\n")))
+
+
 def rotate(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, speaker, seq, turn, role, name, segment, trained, char_start, char_end, mask_start, mask_end.
 
     Characters [mask_start, mask_end) of the rendered dialogue are trained on; in
     segments of others the span is empty. Without a name, ``name`` is empty.
     """
+    who, text = F.coalesce(F.col(role_col), F.lit("unknown")), F.coalesce(F.col(text_col), F.lit(""))
     turns = conversations.select(
         F.col(conv_col).alias("conv_id"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("unknown")).alias("who"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    speakers = turns.where("who <> 'system'").select(F.col("conv_id").alias("c"), F.col("who").alias("speaker")).distinct()
-    rows = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    own, system = F.col("who") == F.col("speaker"), F.col("who") == "system"
-    role = F.when(own, "assistant").when(system, "system").otherwise("user")
-    name = F.when(~own & ~system, F.col("who")).otherwise("")
-    head = F.concat(F.lit("<|"), role, F.when(name != "", F.concat(F.lit(" name="), name)).otherwise(""), F.lit("|>\n"))
-    rows = rows.select(
-        "conv_id", "speaker", "turn", "who", "text", role.alias("role"), name.alias("name"), own.alias("trained"),
-        F.concat(head, "text", F.lit("<|end|>\n")).alias("segment"), F.length(head).alias("head"),
-        F.coalesce(F.floor(F.col("turn") / TURNS_A_BLOCK), F.lit(-(1 << 62))).alias("block"),
-    )
-    rows = rows.withColumn("n", F.length("segment").cast("long"))
-    sums = rows.groupBy("conv_id", "speaker", "block").agg(F.sum("n").alias("chars"), F.count("*").alias("turns"))
-    dialogue = Window.partitionBy("conv_id", "speaker").orderBy("block")
-    before = sums.select(
-        F.col("conv_id").alias("c"), F.col("speaker").alias("p"), F.col("block").alias("b"),
-        (F.sum("chars").over(dialogue) - F.col("chars")).alias("chars_before"), (F.sum("turns").over(dialogue) - F.col("turns")).alias("turns_before"),
+        F.coalesce(F.concat(F.lit("i"), F.col(conv_col).cast("string")), F.lit("n")).alias("c"),
+        F.coalesce(F.floor(F.col(turn_col).cast("long") / TURNS_A_BLOCK), F.lit(-(1 << 62))).alias("block"),
+        F.col(turn_col).cast("long").alias("turn"), who.alias("who"), text.alias("text"),
     )
-    inside = Window.partitionBy("conv_id", "speaker", "block").orderBy("turn", "who", "text")
-    rows = rows.withColumn("i", F.row_number().over(inside)).withColumn("upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("speaker") == F.col("p")) & (F.col("block") == F.col("b")))
-    end: Column = F.col("chars_before") + F.col("upto")
-    start = end - F.col("n")
+    # Numbers only: turns and characters before each block, and each speaker's turns before it.
+    per = turns.groupBy("c", "block", "who").agg(F.first("conv_id").alias("conv_id"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    as_others = F.col("n") * (F.length(_others_head(F.col("who"))) + len(END)) + F.col("chars")
+    blocks = per.groupBy("c", "block").agg(F.first("conv_id").alias("conv_id"), F.sum("n").alias("turns"), F.sum(as_others).alias("chars"))
+    earlier = Window.partitionBy("c").orderBy("block")
+    blocks = blocks.select("conv_id", "c", "block", (F.sum("turns").over(earlier) - F.col("turns")).alias("turns_before"), (F.sum("chars").over(earlier) - F.col("chars")).alias("chars_before"))
+    own = per.where("who <> 'system'").select("c", "block", F.col("who").alias("speaker"), F.col("n").alias("own"))
+    grid = blocks.join(own.select("c", "speaker").distinct(), "c").join(own, ["c", "block", "speaker"], "left")
+    earlier = Window.partitionBy("c", "speaker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.select("conv_id", "c", "block", "speaker", "turns_before", "chars_before", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("own_before"))
+    # One shuffle deals turns to blocks; places and texts both come from it, and meet again within a block.
+    inside = Window.partitionBy("c", "block").orderBy("turn", "who", "text")
+    placed = turns.select("c", "block", "turn", "who", "text").withColumn("i", F.row_number().over(inside))
+    n = F.length(_others_head(F.col("who"))) + F.length("text") + len(END)
+    places = placed.select("c", "block", "i", "who", n.alias("n"), F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    mine = F.col("who") == F.col("speaker")
+    places = places.join(grid, ["c", "block"])
+    so_far = Window.partitionBy("c", "block", "speaker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("own_upto", F.col("own_before") + F.sum(mine.cast("int")).over(so_far))
+    less = F.length(_others_head(F.col("speaker"))) - len(HEAD.format("assistant"))  # what a head of one's own is shorter by
+    end: Column = F.col("chars_before") + F.col("upto") - F.col("own_upto") * less
+    start = end - F.col("n") + F.when(mine, less).otherwise(0)
+    seen = places.select("conv_id", "c", "block", "i", "speaker", (F.col("turns_before") + F.col("i") - 1).alias("seq"), start.alias("char_start"), end.alias("char_end"))
+    rows = placed.join(seen, ["c", "block", "i"])
+    system = F.col("who") == "system"
+    head = F.when(mine, F.lit(HEAD.format("assistant"))).otherwise(_others_head(F.col("who")))
     return rows.select(
-        "conv_id", "speaker", (F.col("turns_before") + F.col("i") - 1).alias("seq"), "turn", "role", "name", "segment", "trained",
-        start.alias("char_start"), end.alias("char_end"), F.when(F.col("trained"), start + F.col("head")).otherwise(start).alias("mask_start"), F.when(F.col("trained"), end - 1).otherwise(start).alias("mask_end"),
+        "conv_id", "speaker", "seq", "turn", F.when(mine, "assistant").when(system, "system").otherwise("user").alias("role"), F.when(~mine & ~system, F.col("who")).otherwise("").alias("name"),
+        F.concat(head, "text", F.lit(END)).alias("segment"), mine.alias("trained"), "char_start", "char_end",
+        F.when(mine, F.col("char_start") + F.length(head)).otherwise(F.col("char_start")).alias("mask_start"), F.when(mine, F.col("char_end") - 1).otherwise(F.col("char_start")).alias("mask_end"),
     )
 
 
