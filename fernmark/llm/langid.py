@@ -14,7 +14,9 @@ no hits get the most frequent language with score 0.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; with
 no labelled rows everything is "und"; ties go to the language that sorts first;
-repeated rows and null ids are predicted each; other columns are ignored.
+repeated rows and null ids are predicted each; very long texts are read whole, one
+text at a time; ids may be of any type that hashes; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageFilter:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = bounded_sample(rows, lang_col, id_col, per_language).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = bounded_sample(rows, lang_col, [id_col, text_col], per_language).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = sample.mapInArrow(_count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     counted = counted.where(F.col("n") >= _LEAST).toPandas()  # bounded by the sample
     languages = sorted(counted["lang"].unique())
@@ -158,8 +160,8 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
             langs, scores = decide(sent.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ offending spans, as byte offsets [start, end) of the UTF-8 text.
 
 Defined cases: null and empty texts have no words and get the score of no
 evidence, under one half; without labels of both kinds every score is 0;
-repeated rows and null ids are scored each; other columns are ignored.
+repeated rows and null ids are scored each; very long texts are read whole, one
+text at a time; ids may be of any type that hashes; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fernmark.llm import crf
 from fernmark.llm._common import held_out, table
-from fernmark.llm.sampling import bounded_sample
+from fernmark.llm.sampling import bounded_sample, capped
 
 #: Most toxic documents that are fitted on; of clean ones, twice as many.
 PER_LABEL = 1200
@@ -118,7 +120,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, clean: float, penalty: float = 1e-2)
 def fit(labelled: DataFrame, *, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", per_label: int = PER_LABEL) -> ToxicityModel:
     """Fit on a bounded sample, drawn by hash from all labelled rows; the sample comes to the driver."""
     known = labelled.where(F.col(label_col).isin(0, 1))
-    sample = bounded_sample(known, label_col, id_col, {1: per_label, 0: 2 * per_label})
+    sample = bounded_sample(known, label_col, [id_col, text_col], {1: per_label, 0: 2 * per_label})
     rows = sample.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return _fit(rows.toPandas(), _totals(known, label_col))
 
@@ -187,8 +189,9 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
             cols = [batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "score", "predicted", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double, predicted int, spans array<struct<start:long,end:long,p:double>>").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {dict(rows.dtypes)['id']}, score double, predicted int, spans array<struct<start:long,end:long,p:double>>"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def is_toxic(spark: SparkSession, model: ToxicityModel):
@@ -206,12 +209,14 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL
     """On the rows of ``labels`` outside the held-out fifth. They are sampled before the join, so the sample, bounded
     by ``per_label``, is broadcast and no text is shuffled."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").alias("i"), F.col("toxic").alias("y"))
-    sample = bounded_sample(known, "y", "i", {1: per_label, 0: 2 * per_label})
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    return _fit(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("i")).select("i", "y", "t").toPandas(), _totals(known, "y"))
+    most = {1: per_label, 0: 2 * per_label}
+    sample = bounded_sample(known, "y", ["i"], most)
+    texts = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
+    found = texts.join(F.broadcast(sample), F.col("d") == F.col("i")).select("i", "y", "t")
+    return _fit(capped(found, "y", ["i", "t"], most).toPandas(), _totals(known, "y"))  # documents may share an id
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_on_labels(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "spans")

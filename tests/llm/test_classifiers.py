@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from fernmark.llm import crf, langid, toxicity
+from fernmark.llm import crf, langid, sampling, toxicity
 from fernmark.llm._common import held_out
 from tests.llm.fixtures import documents, empty, rows_of
 
@@ -28,6 +28,99 @@ def test_languages_of_awkward_rows(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_filter_holds_the_languages_of_each_gram(spark):
+    """The AND of a gram's slots is exactly the set of languages of a brute-force table, but for false positives."""
+    import numpy as np
+
+    texts = {"en": "the cat and the dog went over there and then the hat", "de": "der hund und die katze und das haus und der hut", "fr": "le chat et le chien et la maison et le chapeau"}
+    model = langid.fit(spark.createDataFrame([(k, t, g) for k in range(5) for g, t in texts.items()], "doc_id long, text string, lang string"))
+    counts = {}
+    for lang, t in texts.items():
+        for grams, order in zip(langid._grams([t] * 5)[0], langid.ORDERS):
+            for g, n in zip(*np.unique(grams, return_counts=True)):
+                counts.setdefault((order, int(g)), {})[lang] = int(n)
+    totals = {(order, lang): sum(c[lang] for (o, _), c in counts.items() if o == order and c.get(lang, 0) >= langid._LEAST) for order in langid.ORDERS for lang in texts}
+    extra = 0
+    for (order, gram), c in counts.items():
+        share = {lang: n / totals[order, lang] for lang, n in c.items() if n >= langid._LEAST}
+        want = {lang for lang, p in share.items() if p >= langid._SHARE * max(share.values())}
+        word = np.uint64(2**64 - 1)
+        for at in langid._slots(np.array([gram], np.uint64), len(model.words).bit_length() - 1):
+            word &= model.words[at[0], 0]
+        got = {lang for k, lang in enumerate(model.languages) if int(word) >> k & 1}
+        assert want <= got
+        extra += len(got - want)
+    assert extra <= 0.05 * len(counts)
+
+
+def brute_predict(model, text):
+    """Hits of each language counted gram by gram."""
+    import numpy as np
+
+    if not any(map(str.isalpha, text or "")):
+        return "und"
+    hits, total = np.zeros(len(model.languages)), 0
+    grams, _, _ = langid._grams([text])
+    for g in grams:
+        for three, gram in zip(grams[0].tolist(), g.tolist()):
+            if three == 0x202020:
+                continue
+            total += 1
+            word = np.uint64(2**64 - 1)
+            for at in langid._slots(np.array([gram], np.uint64), len(model.words).bit_length() - 1):
+                word &= model.words[at[0], 0]
+            hits += [int(word) >> k & 1 for k in range(len(hits))]
+    hits = np.clip((hits - total * model.false_rate) / (1 - model.false_rate), 0, None)
+    return model.languages[int(hits.argmax())] if hits.sum() else model.languages[model.default]
+
+
+def test_predictions_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs.where(~held_out("doc_id")))
+    rows = [r for r in rows_of(docs) if len(r["text"]) < 3000][:25]
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(langid.op3_langid(spark, sf_dir))}
+    assert [got[r["doc_id"]] for r in rows] == [brute_predict(model, r["text"]) for r in rows]
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    """Shares of very large classes are not 0, and rows that share their key can't overflow a class."""
+    n = 5_000_000_000_000
+    below = sampling.thresholds({"en": n, "fr": 10, "xx": 0}, 3000)
+    assert below["fr"] == 1 << 62 and abs(below["en"] / (1 << 62) * n - 3000) < 1e-3 and "xx" not in below
+    rows = spark.createDataFrame([(None, "en", f"t{k % 2}") for k in range(4000)] + [(k, "fr", "t") for k in range(3000)] + [(1, None, "t"), (2, "de", None)], "doc_id long, lang string, text string")
+    got = rows_of(sampling.bounded_sample(rows, "lang", ["doc_id", "text"], 100).groupBy("lang").count())
+    counts = {r["lang"]: r["count"] for r in got}
+    assert counts["en"] == 100 and 60 < counts["fr"] <= 100 and counts["de"] == 1 and None not in counts
+    own = rows_of(sampling.bounded_sample(rows, "lang", ["doc_id", "text"], {"en": 50, "fr": 20, "de": 5}).groupBy("lang").count())
+    assert all(r["count"] <= {"en": 50, "fr": 20, "de": 5}[r["lang"]] for r in own)
+    again = [sorted(r["doc_id"] for r in rows_of(sampling.bounded_sample(rows.repartition(k), "lang", ["doc_id", "text"], 100).where("lang = 'fr'"))) for k in (2, 7)]
+    assert again[0] == again[1]
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Accuracy on labelled rows of either kind that the model has not seen, and spans that are words of the text."""
+    sf_dir = "/root/testdata/sf0.1"  # smaller tables have too few toxic labels to tell
+    got = {r["doc_id"]: r for r in rows_of(toxicity.op4_toxicity(spark, sf_dir))}
+    labels = {r["doc_id"]: r["toxic"] for r in rows_of(spark.read.parquet(f"{sf_dir}/labels.parquet")) if r["toxic"] is not None}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+    held = [k for k in labels if got[k]["held_out"]]
+    assert len(got) == len(texts)
+    for kind in (0, 1):
+        mine = [k for k in held if labels[k] == kind]
+        assert mine and sum(got[k]["predicted"] == kind for k in mine) / len(mine) > 0.9
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got.values())
+    spans = [texts[k][s["start"] : s["end"]] for k, r in got.items() for s in r["spans"]]
+    assert spans and all(s and s.strip() == s for s in spans)
+
+
+def test_documents_that_share_an_id_with_a_label(spark):
+    """However many documents have a labelled id, no more than the bound are fitted on."""
+    docs = spark.createDataFrame([(1, f"vile {k}") for k in range(300)] + [(2, f"fine {k}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit_on_labels(docs, labels, per_label=10).crf is not None
+    assert sampling.capped(docs, "doc_id", ["text"], {1: 10, 2: 20}).groupBy("doc_id").count().collect() and sampling.capped(docs, "doc_id", ["text"], {1: 10, 2: 20}).count() == 30
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     common = "the a of and to in is was by with".split()

@@ -57,6 +57,37 @@ def test_decontamination(spark, monkeypatch):
     assert decontam.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_a_filter_does_not_split_again(spark):
+    """Whatever is asked of the result, no text is split inside a lambda or a filter."""
+    docs, bench = documents(spark), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    plan = decontam.decontaminate(docs, bench).where("n_hit > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not re.search(r"lambda[^\n]*split\(", plan)
+    assert not [x for x in plan.split("\n") if "Filter" in x and "split(" in x]
+
+
+def test_contamination_of_long_texts(spark):
+    """A window at the very end of a long text, and a text that is one word over and over."""
+    end = " ".join(f"b{k}" for k in range(10))
+    docs = spark.createDataFrame([("a", "w " * 100_000 + end), ("b", "ab " * 50_000)], "doc_id string, text string")
+    bench = spark.createDataFrame([("x", end), ("y", "ab " * 30), ("z", "ab " * 12 + "no")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows_of(decontam.decontaminate(docs, bench))}
+    assert got == {"a": (100_010, 10, ["x"]), "b": (50_000, 50_000, ["y", "z"])}
+    assert [r["doc_id"] for r in rows_of(decontam.drop_contaminated(docs, bench.where("item_id = 'x'")))] == ["b"]
+
+
+def test_long_turns(spark):
+    conv = spark.createDataFrame([("c", 0, "ann", "x" * 500_000), ("c", 1, "bob", "y")], "conv_id string, turn long, role string, text string")
+    got = {(r["speaker"], r["seq"]): (r["char_start"], r["char_end"], r["mask_start"], r["mask_end"]) for r in rows_of(chat.rotate(conv))}
+    head = len("<|assistant|>\n")
+    assert got["ann", 0] == (0, head + 500_008, head, head + 500_007) and got["bob", 1][0] == len("<|user name=ann|>\n") + 500_008
+
+
+def test_mixing_a_long_text(spark):
+    docs = spark.createDataFrame([("a", "w " * 200_000, "s"), ("b", "one", "s"), ("c", "two words", "t")], "doc_id string, text string, source string")
+    got = {r["doc_id"]: r["size"] for r in rows_of(mixing.mix_sources(docs))}
+    assert got == {"a": 200_000, "b": 1, "c": 2}
+
+
 def brute_targets(sizes, weights, most=3):
     """Water-filling step by step."""
     budget, fixed = sum(sizes), {}
