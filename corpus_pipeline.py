@@ -2,8 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
-columns of their input. Stages that reject documents look their ids up in a small
-table; documents with a null id can't be told apart by it and stay.
+columns of their input. Decisions are taken and carried out row by row: rows that
+share an id, or have none, are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -13,48 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernmark.llm import decontam, mixing, ngram_join, token_output, toxicity
-from fernmark.llm._common import broadcast_if_small, materialize, table
-
-#: Most ids (16 bytes each) that are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(broadcast_if_small(materialize(ids.where("doc_id is not null").distinct(), "rejected"), MAX_BROADCAST_ROWS), "doc_id", "left_anti")
+from fernmark.llm._common import made, release, shared_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with a toxicity score of one half or more."""
+    """Rejects documents with a toxicity score of one half or more.
+
+    Null and empty texts have no evidence and stay; repeated rows get the same
+    score; without labels of both kinds nothing is rejected.
+    """
     model = toxicity.fit_on_labels(docs, table(spark, sf_dir, "labels"))
     return docs.where(~toxicity.is_toxic(spark, model)(F.col("text")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.75 the one with the lowest id stays; of repeated rows, one."""
-    groups = materialize(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
-    kept = _without(docs, groups.where("component_id <> doc_id").select("doc_id"))
-    repeated = groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(broadcast_if_small(repeated, MAX_BROADCAST_ROWS), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(broadcast_if_small(repeated, MAX_BROADCAST_ROWS), "doc_id", "left_anti").unionByName(again)
+    """Of documents linked by five-word shingles at 0.75 the one with the lowest id stays; of repeated rows, one.
+
+    Null and empty texts link with nothing and stay, repeated ones too.
+    """
+    return ngram_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of a benchmark item."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0").select("doc_id"))
+    """Rejects documents that hold a window of a benchmark item. Null and empty texts hold none and stay."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none to three times."""
-    mixed = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.join(broadcast_if_small(materialize(mixed, "copies"), MAX_BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it: none to three times.
+
+    Null and empty texts count no words: they cost nothing and are taken as their
+    place in the queue says; a null source is a source of its own, the last.
+    """
+    return mixing.take(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and what they hold of each document."""
+    """Token files of the mix, and what they hold of each document, repeated ones each; null and empty texts are an end id."""
     return token_output.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -68,9 +63,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. The tables that a stage made on its way are deleted once its output is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        begun, path = made(), shared_path(spark, f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.option("compression", "zstd").parquet(path)
+        release(spark, begun)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
 
 
