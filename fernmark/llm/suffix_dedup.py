@@ -282,18 +282,33 @@ _OFFSETS = "c binary, least int, most int, n long"
 
 def _solve(groups: DataFrame, length: int, max_group: int) -> DataFrame:
     """(c, least, most, n) for contexts in groups; groups that are too large are split until they aren't."""
-    done, level = [], 0
-    while True:
+    def hot_keys() -> DataFrame:
         sizes = groups.groupBy("key").agg(F.count("*").alias("rows"))
-        hot = materialize(sizes.where(F.col("rows") > max_group).select("key"), "hot")
-        some_hot = not hot.isEmpty()
-        rest = groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_anti") if some_hot else groups
+        return materialize(sizes.where(F.col("rows") > max_group).select("key"), "hot")
+
+    def sort(hot: DataFrame | None) -> None:
+        rest = groups if hot is None else groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_anti")
         done.append(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), _OFFSETS))
-        if not some_hot:
+
+    done, level = [], 0
+    while True:
+        hot = hot_keys()
+        if hot.isEmpty():
+            sort(None)
             break
-        large = groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_semi").select(*groups.columns)
+        sort(hot)
+        groups = groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_semi").select(*groups.columns)
+        if not level:
+            # Tasks have sent their own counts of a context: of a frequent gram these are added up, away from its key.
+            rest = [F.first(c).alias(c) for c in ("low", "high", "cut", "ctx")]
+            groups = materialize(groups.groupBy("key", "c").agg(F.sum("n").alias("n"), *rest).select("key", "low", "high", "c", "n", "cut", "ctx"), "added")
+            hot = hot_keys()
+            sort(hot)
+            if hot.isEmpty():
+                break
+            groups = groups.join(broadcast_if_small(hot, MAX_BROADCAST_ROWS), "key", "left_semi").select(*groups.columns)
         level += 1
-        groups = materialize(large.mapInArrow(_split(length), _GROUP_SCHEMA), f"level{level}")
+        groups = materialize(groups.mapInArrow(_split(length), _GROUP_SCHEMA), f"level{level}")
         # A range of one offset: all rows of a key hold the same string, so they are counted, not sorted.
         single = groups.where("high - low = 1")
         total = single.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
