@@ -3,8 +3,10 @@
 A byte-level BPE tokenizer first cuts a text into pieces (words with their
 leading space, numbers, signs, white space) and merges inside each piece only.
 So the ids of a text are the ids of its pieces joined, and a piece that was
-seen before need not be merged again. Pieces are cut and looked up with numpy;
-the library encodes each distinct piece once per worker.
+seen before need not be merged again. Pieces are cut and looked up by hash with
+numpy, and compared with what stands there, character by character; the library
+encodes each distinct piece once per worker. Texts with a piece that differs from
+its namesake go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,8 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LONG = 512
 _MAX_CACHED = 1_000_000
-_CHUNK = 1 << 20
+_MAX_SEEN = 1 << 24
+_CHUNK = 1 << 19
 
 
 def _classes() -> np.ndarray:
@@ -41,6 +45,12 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``start``, one after another."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class PieceEncoder:
     """``encode(texts)`` gives (ids of all texts joined, number of ids of each)."""
 
@@ -59,26 +69,58 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._slots: dict[int, int] = {}
-        self._off = np.zeros(1 << 12, np.int64)
-        self._len = np.zeros(1 << 12, np.int32)
-        self._flat = np.zeros(1 << 14, self.dtype)
-        self._used = 0
-
-    def _store(self, keys: list[int], pieces: list[str]) -> None:
-        encoded = [e.ids for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        first = len(self._slots)
-        lens = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        flat = np.fromiter((x for ids in encoded for x in ids), self.dtype, int(lens.sum()))
-        while first + len(keys) > len(self._off):
-            self._off, self._len = np.resize(self._off, 2 * len(self._off)), np.resize(self._len, 2 * len(self._len))
+        #: Keys in order and the slots they have: a search instead of a table of objects.
+        self._sorted, self._slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        #: By slot: key, place and number of its ids, place and number of its characters, and whether it was met again.
+        self._keys, self._off, self._seen_at = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self._len, self._seen_len, self._again = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
+        self._flat, self._seen = np.zeros(1 << 14, self.dtype), np.zeros(1 << 14, np.uint32)
+        self._used = self._seen_used = 0
+
+    def _compact(self) -> None:
+        """Keeps the pieces that were met again since they came, or since the last time; most others never come again."""
+        keep = np.flatnonzero(self._again[: len(self._sorted)])
+        if len(keep) > _MAX_CACHED * 3 // 4 or self._seen_len[keep].sum() > _MAX_SEEN * 3 // 4:
+            keep = keep[:0]
+        keys, lens, sizes = self._keys[keep], self._len[keep], self._seen_len[keep]
+        flat, seen = self._flat[_runs(self._off[keep], lens)], self._seen[_runs(self._seen_at[keep], sizes)]
+        self._forget()
+        self._add(keys, lens, flat, sizes, seen)
+
+    def _add(self, keys: np.ndarray, lens: np.ndarray, flat: np.ndarray, sizes: np.ndarray, chars: np.ndarray) -> None:
+        first = len(self._sorted)
+        last = first + len(keys)
+        while last > len(self._off):
+            for name in ("_keys", "_off", "_seen_at", "_len", "_seen_len", "_again"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
         while self._used + len(flat) > len(self._flat):
-            self._flat = np.resize(self._flat, 2 * len(self._flat))
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        while self._seen_used + len(chars) > len(self._seen):
+            self._seen = np.concatenate([self._seen, np.zeros_like(self._seen)])
         self._flat[self._used : self._used + len(flat)] = flat
-        self._off[first : first + len(keys)] = self._used + np.cumsum(lens) - lens
-        self._len[first : first + len(keys)] = lens
+        self._seen[self._seen_used : self._seen_used + len(chars)] = chars
+        self._keys[first:last], self._len[first:last], self._seen_len[first:last] = keys, lens, sizes
+        self._off[first:last] = self._used + np.cumsum(lens) - lens
+        self._seen_at[first:last] = self._seen_used + np.cumsum(sizes) - sizes
         self._used += len(flat)
-        self._slots.update(zip(keys, range(first, first + len(keys))))
+        self._seen_used += len(chars)
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(self._sorted, keys[order])
+        self._sorted, self._slot_of = np.insert(self._sorted, at, keys[order]), np.insert(self._slot_of, at, first + order)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of keys, and whether there is one."""
+        if not len(self._sorted):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self._sorted, keys), len(self._sorted) - 1)
+        return self._slot_of[at], self._sorted[at] == keys
+
+    def _store(self, keys: np.ndarray, pieces: list[str]) -> None:
+        encoded = [e.ids for e in self._tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        lens = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(chain.from_iterable(encoded), self.dtype, int(lens.sum()))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self._add(keys, lens, flat, sizes, np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4"))
 
     def _starts(self, cp: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pieces begin; ``ends``: ends of the texts in ``cp``."""
@@ -111,8 +153,8 @@ class PieceEncoder:
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         if not joined:
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
-        if len(self._slots) > _MAX_CACHED:
-            self._forget()
+        if len(self._sorted) > _MAX_CACHED or self._seen_used > _MAX_SEEN:
+            self._compact()
         cp = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         begin = self._starts(cp, ends)
         size = np.diff(begin, append=len(cp))
@@ -126,15 +168,20 @@ class PieceEncoder:
         back, keys = pd.factorize(keys)
         at = np.empty(len(keys), np.int64)
         at[back[::-1]] = np.arange(len(back) - 1, -1, -1)  # first place of each
-        known = keys.tolist()
-        new = [k for k, h in enumerate(known) if h not in self._slots]
-        if new:
+        slots, known = self._find(keys)
+        self._again[slots[known]] = True
+        if not known.all():
+            new = np.flatnonzero(~known)
             b, s = begin[at[new]].tolist(), size[at[new]].tolist()
-            self._store([known[k] for k in new], [joined[x : x + y] for x, y in zip(b, s)])
-        slots = np.fromiter(map(self._slots.__getitem__, known), np.int64, len(known))[back]
+            self._store(keys[new], [joined[x : x + y] for x, y in zip(b, s)])
+            slots = self._find(keys)[0]
+        slots = slots[back]
+        if not np.array_equal(self._seen[np.minimum(np.repeat(self._seen_at[slots], size) + np.arange(len(cp)) - np.repeat(begin, size), len(self._seen) - 1)], cp):
+            encoded = [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([x for ids in encoded for x in ids], self.dtype), np.fromiter(map(len, encoded), np.int64, len(encoded))
         lens = self._len[slots].astype(np.int64)
         total = np.cumsum(lens)
-        ids = self._flat[np.repeat(self._off[slots] - (total - lens), lens) + np.arange(total[-1])]
+        ids = self._flat[_runs(self._off[slots], lens)]
         upto = np.searchsorted(begin, ends)  # pieces before each text's end
         counts = np.diff(np.concatenate([[0], total])[upto], prepend=0)
         return ids, counts

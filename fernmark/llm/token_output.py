@@ -9,8 +9,10 @@ vocabularies up to 65,536) and the ends of its documents as an Elias-Fano code
 writes to will do. ``read_token_files`` gives documents back from the files.
 
 Defined cases: a null text is the empty text (only the end id); a null id sorts
-first; repeated ids stay separate documents, next to each other; an empty table
-gives no blocks; columns other than id and text are ignored.
+first; repeated ids stay separate documents, next to each other and in the order
+of their texts; a very long text is a block of its own, which has to fit a row;
+an empty table gives no blocks; ids are integers; columns other than id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernmark.llm import elias_fano
-from fernmark.llm._common import shared_path, table
+from fernmark.llm._common import pieces, shared_path, table
 
 BLOCK_SCHEMA = "shard int, block int, n_docs int, n_ids long, width int, doc_ids array<long>, ends binary, ids binary"
+#: Text that is encoded before a block's size is looked at again; characters that order rows with one id.
+_BYTES_AT_ONCE, _TIE = 4 << 20, 64
 _ENCODERS: dict = {}
 
 
@@ -61,7 +65,7 @@ def _encode(tokenizer_path: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
 
         for batch in batches:
-            for some in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+            for some in pieces(batch, _BYTES_AT_ONCE, 1000):
                 flat, counts = encoder.encode(some.column(1).to_pylist())
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end_id)
@@ -82,7 +86,8 @@ def write_token_files(
 ) -> None:
     """Encode ``docs`` in ascending order of ``id_col`` into token files below ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
+    # Rows that share an id are in the order of their texts, of which the beginning helps to deal them out.
+    ordered = rows.repartitionByRange(F.col("id"), F.substring("text", 1, _TIE)).sortWithinPartitions("id", "text")
     ordered.mapInArrow(_encode(tokenizer_path, end_id, block_ids), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -120,6 +125,23 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = False)
     return blocks.mapInArrow(_documents(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def fetch(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """doc_id and ids of some documents: only blocks that have them are opened, and ``select`` finds their ends there."""
+    chosen = set(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends = elias_fano.EliasFano(row["ends"])
+                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+                for k in (k for k, d in enumerate(row["doc_ids"]) if d in chosen):
+                    found = ids[ends.select(k - 1) if k else 0 : ends.select(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k]], pa.int64()), pa.array([found.astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).where(F.arrays_overlap("doc_ids", F.lit(list(wanted)).cast("array<long>")))
+    return blocks.select("width", "doc_ids", "ends", "ids").mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def token_output(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write token files to the shared folder and read the documents back."""
     path = shared_path(docs.sparkSession, "tokens")

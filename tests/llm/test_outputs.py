@@ -39,6 +39,37 @@ def test_pieces_equal_the_library(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
 
 
+def test_pieces_whose_hashes_collide():
+    """With all hashes of a length alike, texts still get the library's ids."""
+    tok = Tokenizer.from_file(PATH)
+    encoder = piece_encoder.PieceEncoder(PATH)
+    encoder._mult[:] = 0
+    texts = ["one two six ten", "ten one", "", "two two", " odd\n"]
+    ids, n = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_blocks_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Long texts fill blocks of their own; rows without an id are dealt by their texts."""
+    monkeypatch.setattr(token_output, "_BYTES_AT_ONCE", 50_000)
+    docs = spark.createDataFrame([(None, f"{k} " + "word " * 20_000) for k in range(12)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_output.write_token_files(docs, str(tmp_path / "t"), PATH, block_ids=10_000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = rows_of(spark.read.parquet(str(tmp_path / "t")))
+    assert len(blocks) == 12 and len({b["shard"] for b in blocks}) > 1
+    got = rows_of(token_output.read_token_files(spark, str(tmp_path / "t")))
+    assert sum(r["n_tokens"] for r in got) == sum(len(Tokenizer.from_file(PATH).encode(r["text"]).ids) + 1 for r in rows_of(docs))
+
+
+def test_fetch(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text number {k} " * (k % 50)) for k in range(2000)], "doc_id long, text string")
+    token_output.write_token_files(docs, str(tmp_path / "t"), PATH, block_ids=5000)
+    tok = Tokenizer.from_file(PATH)
+    got = {r["doc_id"]: r["ids"] for r in rows_of(token_output.fetch(spark, str(tmp_path / "t"), [0, 700, 701, 1999, 5000]))}
+    assert got == {k: [*tok.encode(f"text number {k} " * (k % 50)).ids, 0] for k in (0, 700, 701, 1999)}
+
+
 def test_token_files_round_trip(spark, tmp_path):
     docs = documents(spark)
     token_output.write_token_files(docs, str(tmp_path / "t"), PATH, block_ids=500)
@@ -55,8 +86,8 @@ def test_token_files_round_trip(spark, tmp_path):
 
 
 def test_media_round_trip(spark, monkeypatch):
-    for most in (50_000, 0):
-        monkeypatch.setattr(media, "MAX_BROADCAST_ROWS", most)
+    for most in (64 << 20, 0):  # by a filter, and by a join
+        monkeypatch.setattr(media, "MAX_FILTER_BYTES", most)
         docs = documents(spark)
         got = sorted((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows_of(media.media_column(docs)) if r["doc_id"] is not None)
         want = []
@@ -69,6 +100,41 @@ def test_media_round_trip(spark, monkeypatch):
     assert media.media_column(empty(spark)).count() == 0
 
 
+def test_each_shared_chunk_is_stored_once(spark, tmp_path):
+    passage = " ".join(str(k) for k in range(4000))
+    docs = spark.createDataFrame([(k, ("" if k % 2 else f"own {k} " * 400) + passage) for k in range(12)] + [(99, "alone")], "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "m")
+    media.write_media(docs, path)
+    chunks = [bytes(r["bytes"]) for r in rows_of(spark.read.parquet(f"{path}/chunks"))]
+    assert len(chunks) == len(set(chunks)) and sum(map(len, chunks)) > len(passage) * 0.8
+    own = [bytes(c) for r in rows_of(spark.read.parquet(f"{path}/documents")) for c in r["own"]]
+    assert len(own) == len(set(own)) and not set(own) & set(chunks)
+
+
+@pytest.mark.parametrize("what", ["chunks", "documents"])
+def test_changed_bytes_are_found(spark, tmp_path, what):
+    """One byte of a moved chunk, or of one kept with its document, differs."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, "shared by both " * 300 + f"and {k} " * 300) for k in range(2)], "doc_id long, text string")
+    path = str(tmp_path / "m")
+    media.write_media(docs, path)
+    assert media.read_media(spark, path).count() == 2
+    flip = lambda b: F.unhex(F.concat(F.substring(F.hex(b), 1, 20), F.lit("00"), F.substring(F.hex(b), 23, 1 << 20)))
+    table = spark.read.parquet(f"{path}/{what}")
+    table = table.withColumn("bytes", flip(F.col("bytes"))) if what == "chunks" else table.withColumn("own", F.transform("own", flip))
+    rows = table.collect()
+    spark.createDataFrame(rows, table.schema).write.mode("overwrite").parquet(f"{path}/{what}")
+    with pytest.raises(Exception, match="differ from their digests"):
+        media.read_media(spark, path).collect()
+
+
+def test_media_of_long_texts_and_text_ids(spark):
+    docs = spark.createDataFrame([("a", "long " * 400_000), ("b", None), (None, "c")], "doc_id string, text string")
+    got = {r["doc_id"]: r["n_bytes"] for r in rows_of(media.media_column(docs))}
+    assert got == {"a": 2_000_000, "b": 0, None: 1}
+
+
 def test_equal_texts_have_equal_media(spark):
     docs = spark.createDataFrame([(k, "same text " * 500) for k in range(4)], "doc_id long, text string")
     assert len({tuple(v for k, v in r.items() if k != "doc_id") for r in rows_of(media.media_column(docs))}) == 1
