@@ -138,6 +138,12 @@ def within_m(lat: Column, lon: Column, lat0: float, lon0: float, metres: float)
     return lat.between(lat0 - band, lat0 + band) & (haversine_m(lat, lon, F.lit(lat0), F.lit(lon0)) <= metres)
 
 
+def in_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
+    """Within a box, edges included; one whose west is east of its east spans the date line. Plain comparisons, which scans can prune by."""
+    across = (lon >= west) & (lon <= east) if west <= east else (lon >= west) | (lon <= east)
+    return lat.between(south, north) & across
+
+
 def all_cells(spark: SparkSession, bits: int) -> DataFrame:
     """Every cell of ``bits`` bits with its neighbours, itself among them: cell, around."""
     if not 0 < bits <= 40:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernmark.scratch import small, under
+from fernmark.scratch import kept, small
 
 
 def long_scores(df: DataFrame, classes: Column | Sequence[str], scores: Column, keep: Sequence[str]) -> DataFrame:
@@ -51,9 +51,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[s
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
     one = [*by, "_k"]
     rows = rows.withColumn("_k", F.lit(0))
-    ends = rows.groupBy(*one).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    groups = small if by else F.broadcast
-    ends = groups(ends)
+    ends = small(kept(rows.groupBy(*one).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")), "ends"))
     step = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _BINS), F.lit(_BINS - 1))
     binned = rows.join(ends, one).withColumn("_b", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), step), F.lit(0)).cast("int"))
     counts = binned.groupBy(*one, "_b").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
@@ -61,7 +59,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[s
     names = list(shares)
     ranks = F.array(*[F.struct(F.lit(k).alias("q"), (side((F.col("_n") - 1) * shares[n])).cast("long").alias("r")) for k, n in enumerate(names) for side in (F.floor, F.ceil)])
     holds = counts.withColumn("_before", before).withColumn("_ranks", F.filter(ranks, lambda x: (x["r"] >= F.col("_before")) & (x["r"] < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0)
-    wanted = groups(holds.select(*one, "_b", "_before", "_ranks"))
+    wanted = small(kept(holds.select(*one, "_b", "_before", "_ranks"), "bins"))
     values = binned.join(wanted, [*one, "_b"]).groupBy(*one, "_b", "_v").agg(F.count("*").alias("_c"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"), F.first("_n").alias("_n"))
     inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*one, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
     hit = values.withColumn("_at", inside).select(*by, "_v", "_n", F.explode(F.filter("_ranks", lambda x: (x["r"] >= F.col("_at")) & (x["r"] < F.col("_at") + F.col("_c")))).alias("x"))
@@ -81,11 +79,10 @@ def confusion(df: DataFrame, truth: str, classes: Column | Sequence[str], scores
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (the furthest values within 1.5 interquartile ranges) and how many values lie outside."""
-    q = exact_quantiles(df, by, value, {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    q = kept(exact_quantiles(df, by, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}), "quartiles")
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(lo, hi)
-    few = not by or under(df.select(*by).distinct())  # counted on the keys alone: quantiles cost more
-    joined = df.join(F.broadcast(q) if few else q, list(by)) if by else df.crossJoin(F.broadcast(q))
+    joined = df.join(small(q), list(by)) if by else df.crossJoin(F.broadcast(q))
     whiskers = [F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high")]
     return joined.groupBy(*by, "q1", "med", "q3").agg(*whiskers, F.countDistinct(F.when(~inside, F.col(value))).alias("n_outliers"))
 

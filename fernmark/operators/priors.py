@@ -15,9 +15,11 @@ from fernmark.functions import bars, geo
 
 
 def presence(obs: DataFrame, bins: Sequence[str], checklist: str, kind: str) -> DataFrame:
-    """bins, kind, n_present, n, p. Both counts are two-step aggregates, joined on the bins."""
-    total = obs.groupBy(*bins).agg(F.countDistinct(checklist).alias("n"))
-    seen = obs.groupBy(*bins, kind).agg(F.countDistinct(checklist).alias("n_present"))
+    """bins, kind, n_present, n, p. Both counts come from the distinct (bins, kind, checklist), whose shuffle they share."""
+    once = obs.select(*bins, kind, checklist).distinct()
+    # Rows whose checklist is null count for nothing, as in a distinct count, but their bins stay.
+    total = once.select(*bins, checklist).distinct().groupBy(*bins).agg(F.count(checklist).alias("n"))
+    seen = once.groupBy(*bins, kind).agg(F.count(checklist).alias("n_present"))
     return seen.join(total, list(bins)).withColumn("p", F.col("n_present") / F.col("n"))
 
 

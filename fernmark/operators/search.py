@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from fernmark.functions import vectors
 from fernmark.operators.sampling import draw
 from fernmark.operators.topk import round_robin, top_k_per_group
+from fernmark.scratch import small
 
 
 @dataclass
@@ -56,19 +57,24 @@ class Query:
     extra: dict = field(default_factory=dict)
 
 
-def with_distances(candidates: DataFrame, query: DataFrame, vector: str, metrics: Sequence[str] = ("cosine",), digits: int = 6, norm: str | None = None) -> DataFrame:
-    """Adds d_<metric> to the one row of ``query``, which goes to every task with its norm; ``norm`` names a column that stores the candidates'."""
-    one = F.broadcast(query.select(F.col(vector).alias("_q"), vectors.norm(F.col(vector)).alias("_qn")).limit(1))
+def with_distances(candidates: DataFrame, query: DataFrame, vector: str, metrics: Sequence[str] = ("cosine",), digits: int = 6, norm: str | None = None, other_than: str | None = None) -> DataFrame:
+    """Adds d_<metric> to the one row of ``query``, which goes to every task with its norm.
+
+    ``norm`` names a column that stores the candidates' norms; ``other_than`` the
+    id by which the query itself is left out.
+    """
+    own_id = [F.col(other_than).alias("_self")] if other_than else []
+    one = F.broadcast(query.select(F.col(vector).alias("_q"), vectors.norm(F.col(vector)).alias("_qn"), *own_id).limit(1))
     rows = candidates.crossJoin(one)
-    own = {"norm_a": F.col(norm) if norm else None, "norm_b": F.col("_qn")}
-    return rows.select(*candidates.columns, *[F.round(vectors.DISTANCES[m](F.col(vector), F.col("_q"), **(own if m == "cosine" else {})), digits).alias(f"d_{m}") for m in metrics])
+    if other_than:
+        rows = rows.where(F.col(other_than) != F.col("_self"))
+    norms = {"norm_a": F.col(norm) if norm else None, "norm_b": F.col("_qn")}
+    return rows.select(*candidates.columns, *[F.round(vectors.DISTANCES[m](F.col(vector), F.col("_q"), **(norms if m == "cosine" else {})), digits).alias(f"d_{m}") for m in metrics])
 
 
 def nearest(candidates: DataFrame, query: DataFrame, vector: str, id_col: str, n: int, metric: str = "cosine") -> DataFrame:
     """The ``n`` nearest rows, without the query itself."""
-    ids = F.broadcast(query.select(F.col(id_col).alias("_self")).limit(1))
-    rows = candidates.crossJoin(ids).where(F.col(id_col) != F.col("_self")).drop("_self")
-    return with_distances(rows, query, vector, [metric]).orderBy(f"d_{metric}", id_col).limit(n)
+    return with_distances(candidates, query, vector, [metric], other_than=id_col).orderBy(f"d_{metric}", id_col).limit(n)
 
 
 def nearest_per_group(candidates: DataFrame, query: DataFrame, vector: str, id_col: str, group: str, k: int, n: int, probabilities: DataFrame | None = None, metric: str = "cosine") -> DataFrame:
@@ -77,15 +83,14 @@ def nearest_per_group(candidates: DataFrame, query: DataFrame, vector: str, id_c
     With ``probabilities`` (group, p) groups come by surprise -ln p first; groups
     without a probability are left out by a semi-join before any window.
     """
-    ids = F.broadcast(query.select(F.col(id_col).alias("_self")).limit(1))
-    rows = candidates.crossJoin(ids).where(F.col(id_col) != F.col("_self")).drop("_self")
+    rows = candidates
     order: list[Column] = [F.col(f"d_{metric}"), F.col(id_col)]
     final = order
     if probabilities is not None:
         surprise = F.round(vectors.surprise(F.col("p")), 6).alias("slp")
-        rows = rows.join(F.broadcast(probabilities.select(group, surprise)), group)
+        rows = rows.join(small(probabilities.select(group, surprise)), group)
         final = [F.col("slp"), *order]
-    ranked = top_k_per_group(with_distances(rows, query, vector, [metric]), [group], order, k)
+    ranked = top_k_per_group(with_distances(rows, query, vector, [metric], other_than=id_col), [group], order, k)
     return ranked.orderBy(*final).limit(n)
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fernmark.functions import arrays, dates, geo, intervals, text
-from fernmark.operators import evals, profile, sampling, taxonomy, topk
+from fernmark.functions import arrays, dates, geo, intervals, text, vectors
+from fernmark.operators import evals, profile, sampling, segments, taxonomy, topk
 from fernmark.plans.eval_plans import _CLASSES, _S, _V, _matrix, _scored
 from fernmark.plans.prior_plans import _OBS, _obs, _sql_cell, _sql_geohash
 from fernmark.plans.registry import query, read
@@ -234,3 +234,46 @@ def merged_confusion(spark, sf_dir):
     folds = [evals.confusion(rows.where(F.col("fold") == k), "label", F.array(*map(F.lit, _CLASSES)), F.transform("scores", lambda s: F.abs(s))) for k in range(3)]
     m = evals.merged_confusion(folds, "label")
     return m.select("label", "class", F.round("total", 4).alias("total"), F.round("row_total", 4).alias("row_total"), F.round("share", 5).alias("share"))
+
+
+@query("box_filter", f"WITH {_U} SELECT user_id FROM u WHERE lat BETWEEN -60 AND 60 AND (lon >= 100 OR lon <= -20)")
+def box_filter(spark, sf_dir):
+    """A box from 100 degrees east over the date line to 20 degrees west."""
+    return _places(spark, sf_dir).where(geo.in_box(F.col("lat"), F.col("lon"), -60, 100, 60, -20)).select("user_id")
+
+
+@query("packed_vectors", f"SELECT vec_id, round(sqrt(list_dot_product({_V}, {_V})), 6) AS norm, 64 AS n FROM embeddings")
+def packed_vectors(spark, sf_dir):
+    """A column for each component, and one array again."""
+    flat = read(spark, sf_dir, "embeddings").select("vec_id", *vectors.unpack(F.col("embedding").cast("array<double>"), 64, "v"))
+    back = flat.select("vec_id", vectors.pack([f"v_{k}" for k in range(64)]).alias("v"))
+    return back.select("vec_id", F.round(vectors.norm(F.col("v")), 6).alias("norm"), F.size("v").alias("n"))
+
+
+@query("json_labels", """SELECT c_custkey, '{"segment":"' || c_mktsegment || '","nation":' || c_nationkey || '}' AS label FROM customer""")
+def json_labels(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))).alias("label"))
+
+
+@query("json_numbers", """SELECT p_partkey, CASE WHEN p_size < 5 THEN '"Infinity"' WHEN p_size < 9 THEN '"-Infinity"' WHEN p_size < 12 THEN '"NaN"' ELSE (p_size::DOUBLE)::VARCHAR END AS size FROM part""")
+def json_numbers(spark, sf_dir):
+    size = F.col("p_size")
+    x = F.when(size < 5, float("inf")).when(size < 9, float("-inf")).when(size < 12, float("nan")).otherwise(size.cast("double"))
+    return read(spark, sf_dir, "part").select("p_partkey", intervals.json_number(x).alias("size"))
+
+
+@query("edited_samples", f"WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings) SELECT vec_id, 9 AS n, round(v[3] * 10, 4) + 0.0 AS first, round(v[1] + v[2], 4) + 0.0 AS last, 0.0::DOUBLE AS padding FROM e")
+def edited_samples(spark, sf_dir):
+    """Two clips of a recording, one of them louder, one after another, and zeros up to nine samples."""
+    clip = lambda lo, hi, gain: F.struct(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")).alias("time"), F.lit(gain).cast("double").alias("gain"))
+    samples = segments.edited(F.col("embedding").cast("array<double>"), 2.0, F.array(clip(1.0, 2.0, 20.0), clip(0.0, 1.0, None)))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", segments.padded(samples, 9).alias("s"))
+    return rows.select("vec_id", F.size("s").alias("n"), (F.round(F.col("s")[0], 4) + 0.0).alias("first"), (F.round(F.col("s")[2] + F.col("s")[3], 4) + 0.0).alias("last"), F.aggregate(F.slice("s", 5, 5), F.lit(0.0), lambda a, x: a + x).alias("padding"))
+
+
+@query("known_fields", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE event_type <> 'view' AND json_extract_string(props, '$.k') IS NOT NULL""")
+def known_fields(spark, sf_dir):
+    """Rows that have all of some fields."""
+    kind = F.when(F.col("event_type") != "view", F.col("event_type"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k string")["k"].cast("int").alias("k"), kind.alias("kind"))
+    return rows.dropna(subset=["k", "kind"]).drop("kind")

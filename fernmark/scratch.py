@@ -38,3 +38,10 @@ def path(spark: SparkSession, label: str) -> str:
             _OWN[context.applicationId] = "file://" + own
         root = _OWN[context.applicationId]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what follows doesn't run it again; no executor's disk holds it."""
+    where = path(df.sparkSession, label)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -107,17 +107,6 @@ def test_agglomeration_against_brute_force():
         assert len(set(clustering.cut(12, tree, 4))) == 4
 
 
-def test_spherical_kmeans(spark):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal([5, 0], 0.1, (40, 2)), rng.normal([0, 5], 0.1, (40, 2))])
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
-    centres, rows = clustering.spherical_kmeans(df, "id", "v", 2)
-    assert np.allclose(np.linalg.norm(centres, axis=1), 1)
-    got = {r.id: r.cluster for r in rows.collect()}
-    # Two first centres may fall into one group; then one of them gathers the other.
-    assert len({got[k] for k in range(40)}) <= 2 and len(got) == 80
-
-
 def test_classifier_names(spark):
     df = models.with_features(spark.createDataFrame([(float(k % 2), [float(k % 2), 1.0 + k % 3]) for k in range(30)], "label double, v array<double>"), "v")
     for name in ("nb", "std-logreg,maxIter=5", "rf,numTrees=3", "ovr-logreg"):
@@ -156,3 +145,51 @@ def test_agglomerate_groups_of_any_size(spark):
     df = spark.createDataFrame(rows, "id long, label string, v array<double>")
     want, got = (sorted(map(tuple, clustering.agglomerate(df, "label", "id", "v", 3, cosine=True, max_rows=m).collect())) for m in (2000, 40))
     assert got == want and len(got) == 90
+
+
+def test_top_groups(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], [1.0, float(k)]) for k in range(12)], "id long, g string, v array<double>")
+    p = spark.createDataFrame([("a", 0.2), ("b", 0.7), ("c", 0.1)], "g string, p double")
+    one = df.where("id = 0")
+    several = search.top_groups(df, one, "v", "id", "g", 2, 6, p).collect()
+    assert [r["g"] for r in several] == ["b", "b", "a", "a"]
+    assert search.top_groups(df.where("g = 'a'"), one, "v", "id", "g", 2, 6, p).count() == 5
+    assert search.top_groups(df.limit(0), one, "v", "id", "g", 2, 6, p).count() == 0
+
+
+def test_order_of_taxa(spark):
+    species = spark.createDataFrame([("x", 30), ("y", 10), ("z", 20)], "species string, taxon_order int")
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "?")], "id int, species string")
+    got = {r.id: r.taxon_ord for r in taxonomy.with_ordinal(rows, species, "species", [F.col("taxon_order")]).collect()}
+    assert got == {1: 2, 2: 0, 3: None}
+
+
+def test_nearest_neighbour_cache_of_merges():
+    """Rows whose neighbour was merged away are looked at again: no merge may be dearer than a brute-force minimum."""
+    rng = np.random.default_rng(9)
+    for n in (2, 3, 40):
+        x = np.round(rng.normal(size=(n, 2)), 1)
+        tree = clustering.merges(x, "average")
+        assert len(tree) == n - 1 and all(a[2] <= b[2] + 1e-9 for a, b in zip(tree, tree[1:]))
+
+
+def test_small_sides_are_counted(spark):
+    from fernmark import scratch
+
+    df = spark.range(10)
+    assert scratch.under(df, 10) and not scratch.under(df, 9)
+    assert "hint" in scratch.small(df, 10)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in scratch.small(df, 9)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fernmark import scratch
+
+    session = lambda master, where: SimpleNamespace(conf={"spark.checkpoint.dir": where} if where else {}, sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    with pytest.raises(RuntimeError):
+        scratch.path(session("spark://host:7077", None), "x")
+    with pytest.raises(RuntimeError):
+        scratch.path(session("local-cluster[2,1,1024]", None), "x")
+    assert scratch.path(session("spark://host:7077", "hdfs://shared/"), "x").startswith("hdfs://shared/x-")

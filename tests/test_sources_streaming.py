@@ -1,4 +1,7 @@
+import json
+
 import numpy as np
+import pytest
 
 from fernmark.sources import readers, sinks
 from fernmark.streaming import aggregates, framing
@@ -99,3 +102,56 @@ def test_upsert_and_online_clusters(spark, tmp_path):
 def test_running_range(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("b", 2.0)], "k string, v double")
     assert {r.k: (r.low, r.high) for r in aggregates.running_range(df, "k", "v").collect()} == {"a": (1.0, 5.0), "b": (2.0, 2.0)}
+
+
+def test_paged_service(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"page{k}.json").write_text(json.dumps({"recordings": [{"id": str(10 * k + j), "gen": "G", "sp": "s"} for j in range(2)]}))
+    got = readers.paged_json(spark, f"file://{tmp_path}/page{{page}}.json", 2)
+    assert sorted((r.id, r.gen, r.q) for r in got.collect()) == [("10", "G", None), ("11", "G", None), ("20", "G", None), ("21", "G", None)]
+
+
+def test_sqlite_files(spark, tmp_path):
+    df = spark.createDataFrame([(k, [k], b"x", None if k % 2 else 0.5) for k in range(25)], "id long, a array<int>, b binary, d double").repartition(3)
+    sinks.sqlite_files(df, str(tmp_path / "s"), "recs", rows_a_file=4)
+    found = []
+    for r in spark.read.parquet(str(tmp_path / "s")).collect():
+        rows = sinks.open_sqlite(bytes(r["database"])).execute("SELECT id, a, b, d FROM recs").fetchall()
+        assert len(rows) == r["n"] <= 4
+        found += rows
+    assert sorted(found) == [(k, f"[{k}]", b"x", None if k % 2 else 0.5) for k in range(25)]
+    sinks.sqlite_files(df.limit(0), str(tmp_path / "e"), "recs")
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 0
+    with pytest.raises(ValueError, match="sqlite_files"):
+        sinks.sqlite(df, str(tmp_path / "x.sqlite"), "recs", max_rows=3)
+
+
+def test_compressed_latin1(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "t.csv.gz").write_bytes(gzip.compress("name,n\nDürer é,2\n".encode("latin-1")))
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "t.csv.gz"), "name string, n int", encoding="ISO-8859-1").collect()] == [("Dürer é", 2)]
+
+
+def test_trimmed_and_manifest(spark, tmp_path):
+    dim, used = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2,), (2,)], "k int")
+    assert [tuple(r) for r in sinks.trimmed(dim, used, "k").collect()] == [(2, "b")]
+    sinks.json_lines(dim, str(tmp_path / "j"))
+    assert readers.json_lines(spark, str(tmp_path / "j"), "k int, v string").count() == 2
+    assert readers.files(spark, str(tmp_path / "j"), "*.json").where("length > 0").count() >= 1
+
+
+def test_tags(spark):
+    df = spark.createDataFrame([("{}",), ('{"version": 3, "species": "sosp", "edits": [{"clips": [{"time": {"lo": 1, "hi": 2}}]}]}',), (None,)], "tags string")
+    got = [r.m for r in df.select(readers.tag_metadata().alias("m")).collect()]
+    assert [(m.version, m.species, m.quality) for m in got] == [(0, "_UNK", "no score"), (3, "sosp", "no score"), (0, "_UNK", "no score")]
+    assert got[1].edits[0].clips[0].time.hi == 2 and got[1].edits[0].clips[0].gain is None
+
+
+def test_range_of_a_stream(spark, tmp_path):
+    for k, rows in enumerate([[("a", 1.0), ("b", 4.0)], [("a", -2.0)], [("b", 9.0), ("a", 0.0)]]):
+        spark.createDataFrame(rows, "k string, v double").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, v double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    result = aggregates.running_range(stream, "k", "v").writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "c"))
+    result.foreachBatch(aggregates.keep_result(str(tmp_path / "out"))).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, aggregates.last_result(spark, str(tmp_path / "out")).collect())) == [("a", -2.0, 1.0, 3), ("b", 4.0, 9.0, 2)]
