@@ -12,9 +12,10 @@ def db(sf_dir):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf_dir, db, name):
     got = catalog.QUERIES[name](spark, sf_dir).toPandas()
-    assert len(got)
-    if name in catalog.ORACLES:  # tests/test_models.py has the others
+    if name in catalog.ORACLES:
         check(db, got, catalog.ORACLES[name])
+    else:  # tests/test_models.py holds these against something
+        assert len(got)
 
 
 def test_entry(spark):
