@@ -406,7 +406,8 @@ def components_of_rows(docs: DataFrame, *, n: int = 5, percent: int = 75, id_col
     blocks = materialize(members.select("key", "node", "n").join(centers, "key").select("center", "node", "n").distinct(), "blocks")
 
     wanted = blocks.select("node").distinct()
-    ids = materialize(nodes.join(wanted, "node").groupBy("node").agg(F.min("rid").alias("rid")).select("rid"), "ids")
+    # Copies are aggregated before any join on their node, so none is hot there.
+    ids = materialize(nodes.groupBy("node").agg(F.min("rid").alias("rid")).join(wanted, "node", "left_semi").select("rid"), "ids")
     chosen = rows.select("rid", "text").join(broadcast_if_small(ids.distinct(), MAX_BROADCAST_ROWS), "rid", "left_semi")
     sets = materialize(chosen.select("text").mapInArrow(_sets(n), "node long, tokens binary"), "sets")
     links = block_links(sets, blocks, percent)
