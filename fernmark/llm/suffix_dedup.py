@@ -311,8 +311,8 @@ def _solve(groups: DataFrame, length: int, max_group: int) -> DataFrame:
         groups = materialize(groups.mapInArrow(_split(length), _GROUP_SCHEMA), f"level{level}")
         # A range of one offset: all rows of a key hold the same string, so they are counted, not sorted.
         single = groups.where("high - low = 1")
-        total = single.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
-        done.append(single.join(total, "key", "left_semi").select("c", F.col("low").alias("least"), F.col("low").alias("most"), "n"))
+        total = materialize(single.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key"), "alike")
+        done.append(single.join(broadcast_if_small(total, MAX_BROADCAST_ROWS), "key", "left_semi").select("c", F.col("low").alias("least"), F.col("low").alias("most"), "n"))
         groups = groups.where("high - low > 1")
     out = done[0]
     for more in done[1:]:
