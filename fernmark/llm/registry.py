@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fernmark.llm import chat, decontam, langid, line_dedup, media, mixing, ngram_join, suffix_dedup, token_output, toxicity
+from fernmark.llm import alignment, chat, decontam, langid, line_dedup, media, mixing, ngram_join, personal_data, resampling, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_token_output": token_output.op9_token_output,
     "op10_media": media.op10_media,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op5_chat": chat.ORACLE,
     "op6_decontam": decontam.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
