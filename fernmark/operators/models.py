@@ -6,14 +6,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernmark.operators import search
+from fernmark.operators.boosting import HistogramBoosting, HistogramBoostingModel
+from fernmark.operators.linear import StochasticLogistic, StochasticLogisticModel
 
 
 def classifier(config: str, features: str = "features", label: str = "label") -> Pipeline:
-    """From "[std-][ovr-]name[,key=value...]": nb, logreg, svm, rf; std scales first, ovr fits one against the rest.
+    """From "[std-][ovr-]name[,key=value...]": nb, logreg, sgd, svm, rf, gbt; std scales first, ovr fits one against the rest.
 
     ``knn_classify`` is the classifier without a fit.
     """
@@ -26,7 +28,7 @@ def classifier(config: str, features: str = "features", label: str = "label") ->
         features = "_scaled"
     one_vs_rest = name.startswith("ovr-")
     name = name.removeprefix("ovr-")
-    kinds = {"nb": lambda: NaiveBayes(modelType="gaussian"), "logreg": LogisticRegression, "svm": LinearSVC, "rf": lambda: RandomForestClassifier(seed=0)}
+    kinds = {"nb": lambda: NaiveBayes(modelType="gaussian"), "logreg": LogisticRegression, "sgd": StochasticLogistic, "svm": LinearSVC, "rf": lambda: RandomForestClassifier(seed=0), "gbt": HistogramBoosting}
     if name not in kinds:
         raise ValueError(f"no classifier named {name}; there are {sorted(kinds)}")
     model = kinds[name]().setFeaturesCol(features).setLabelCol(label)
@@ -59,7 +61,12 @@ def statistics(model: PipelineModel) -> list[dict]:
     parts = last.models if hasattr(last, "models") else [last]
     out = []
     for c, part in enumerate(parts):
-        if hasattr(part, "trees"):
+        if isinstance(part, HistogramBoostingModel):
+            out += [{"part": t["class"], "kind": "boosted", "k": t["round"], "depth": t["depth"], "nodes": 2 * t["splits"] + 1} for t in part.trees]
+        elif isinstance(part, StochasticLogisticModel):
+            w = part.matrix
+            out += [{"part": c, "kind": "linear", "k": k, "nonzero": int((w[:-1, k] != 0).sum()), "intercept": float(w[-1, k])} for k in range(w.shape[1])]
+        elif hasattr(part, "trees"):
             out += [{"part": c, "kind": "tree", "k": k, "depth": t.depth, "nodes": t.numNodes} for k, t in enumerate(part.trees)]
         elif hasattr(part, "coefficientMatrix"):
             rows = part.coefficientMatrix.toArray()
@@ -71,6 +78,12 @@ def statistics(model: PipelineModel) -> list[dict]:
     return out
 
 
+def statistics_table(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """``statistics`` as a table: one row for each part, null where a kind has no such number."""
+    names = "part int, kind string, k int, depth int, nodes int, nonzero int, intercept double"
+    return spark.createDataFrame([tuple(s.get(c.split()[0]) for c in names.split(", ")) for s in statistics(model)], names)
+
+
 def with_features(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(vector).cast("array<double>")))
 
@@ -85,6 +98,11 @@ def variance_table(shares: list[float]) -> list[dict]:
     return [{"component": k, "share": s, "upto": sum(shares[: k + 1])} for k, s in enumerate(shares)]
 
 
+def variance_frame(spark: SparkSession, shares: list[float]) -> DataFrame:
+    """``variance_table`` as a table."""
+    return spark.createDataFrame([(v["component"], v["share"], v["upto"]) for v in variance_table(shares)], "component int, share double, upto double")
+
+
 def pca_normalised(df: DataFrame, vector: str, k: int, out: str = "projected") -> tuple[DataFrame, list[float]]:
     """Scaled, projected to ``k`` components, unit length; and the components' shares of the variance."""
     stages = [StandardScaler(withMean=True, inputCol="features", outputCol="_s"), PCA(k=k, inputCol="_s", outputCol="_p"), Normalizer(inputCol="_p", outputCol="_n")]

@@ -109,10 +109,10 @@ def clamped_prices(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", intervals.clamp(F.col("p_retailprice"), intervals.interval(F.lit(950), F.lit(1500))).alias("price"))
 
 
-@query("arranged_columns", "SELECT c_custkey AS id, c_mktsegment AS segment, round(c_acctbal / 1000, 4) AS thousands, c_nationkey FROM customer")
+@query("arranged_columns", "SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal / 1000 AS thousands, c_nationkey FROM customer")
 def arranged_columns(spark, sf_dir):
     rows = read(spark, sf_dir, "customer")
-    return profile.arranged(rows, rename={"c_custkey": "id", "c_mktsegment": "segment"}, assign={"thousands": F.round(F.col("c_acctbal") / 1000, 4)}, drop=["c_acctbal", "c_name"], first=["id", "segment"], last=["c_nationkey"])
+    return profile.arranged(rows, rename={"c_custkey": "id", "c_mktsegment": "segment"}, assign={"thousands": F.col("c_acctbal") / 1000}, drop=["c_acctbal", "c_name"], first=["id", "segment"], last=["c_nationkey"])
 
 
 @query("columns_once", "SELECT c_custkey, c_name FROM customer")

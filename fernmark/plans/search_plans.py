@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fernmark.functions import vectors
-from fernmark.operators import dedup, models, sampling, search, topk
-from fernmark.plans.registry import query, read
+from fernmark.operators import dedup, inverted_file, models, sampling, search, topk
+from fernmark.plans.registry import ORACLES, query, read
 
 _D = "list_transform(embedding, lambda x: x::DOUBLE)"
 _DIST = f"""
@@ -110,6 +110,14 @@ def batch_knn(spark, sf_dir):
     return search.batch_nearest(rows, rows.where("vec_id % 50 = 0"), "embedding", "vec_id", 5)
 
 
+@query("indexed_knn", ORACLES["batch_knn"])
+def indexed_knn(spark, sf_dir):
+    """The same rows through an inverted file over all vectors."""
+    rows = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    found = inverted_file.nearest(inverted_file.build(rows, "vec_id", "embedding"), rows.where("vec_id % 50 = 0"), 5)
+    return found.drop("looked")
+
+
 @query("knn_vote", f"""WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), d AS (SELECT a.vec_id AS q_id, a.label AS truth, b.vec_id, b.label, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS d_cosine
 FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d_cosine, vec_id) AS rank FROM d),
 v AS (SELECT q_id, truth, label, count(*) AS votes FROM r WHERE rank <= 5 GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, label) AS n FROM v) SELECT q_id AS vec_id, truth, label AS predicted, votes FROM w WHERE n = 1""")
