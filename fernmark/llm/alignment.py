@@ -30,7 +30,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import product
+from collections.abc import Iterable, Iterator
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: An id pair as a number: A's id, and B's id in so many bits.
 _B_BITS = 20
-_MAX_PARTS, _MAX_CHARS = 200_000, 8_000_000
+_MAX_PARTS, _MAX_CHARS, _CHARS_AT_ONCE = 600_000, 12_000_000, 1 << 18
 _PART = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 _BLANK = "▁"
 
@@ -82,6 +83,9 @@ class Aligner:
         pieces = [self._b.id_to_piece(i) for i in range(self._b.vocab_size())]
         self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self._size_a, self._size_b = (np.array(list(map(len, x)), np.int64) for x in (self._bytes_a, self._bytes_b))
+        self._lens_a, self._lens_b = self._size_a.tolist(), self._size_b.tolist()
+        named = lambda n, last: np.array([f"{i},".replace(",", c) for c in ("," + last) for i in range(n)], object)
+        self._names_a, self._names_b = named(len(self._bytes_a), "|"), named(len(self._bytes_b), ";")
         self._lone = self._b.piece_to_id(_BLANK)
         # A cut before a blank or a newline needs that no piece has one after something else.
         self._cuts = not any("\n" in p or _BLANK in p.lstrip(_BLANK) for p in pieces)
@@ -101,18 +105,30 @@ class Aligner:
         found = self._b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         return [([self._lone] if p == " " else ids) if p[0] == " " else ids[1:] for p, ids in zip(parts, found)]
 
+    def _checked(self, parts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> np.ndarray:
+        """Whether tokens' bytes are the part's, by part; the ids of others are taken away."""
+        joined = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        good = np.ones(len(parts), bool)
+        every = "".join(parts).encode()
+        sizes = [np.fromiter((sum(map(table.__getitem__, ids)) for ids in x), np.int64, len(parts)) for table, x in ((self._lens_a, ids_a), (self._lens_b, ids_b))]
+        if np.array_equal(*sizes) and joined(self._bytes_a, chain.from_iterable(ids_a)) == every and joined(self._bytes_b, chain.from_iterable(ids_b)) == every:
+            ends = np.cumsum(sizes[0])
+            if np.array_equal(ends, np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))):
+                return good
+        for k, (p, a, b) in enumerate(zip(parts, ids_a, ids_b)):
+            raw = p.encode()
+            if joined(self._bytes_a, a) != raw or joined(self._bytes_b, b) != raw:
+                good[k], ids_a[k], ids_b[k] = False, [], []
+        return good
+
     def _add(self, parts: list[str]) -> None:
         ids_a = [e.ids for e in self._a.encode_batch_fast(parts, add_special_tokens=False)]
         ids_b = self._encode_b(parts)
-        raws = [p.encode() for p in parts]
-        good = [b"".join(map(self._bytes_a.__getitem__, a)) == raw and b"".join(map(self._bytes_b.__getitem__, b)) == raw for a, b, raw in zip(ids_a, ids_b, raws)]
-        for k, fine in enumerate(good):
-            if not fine:
-                ids_a[k], ids_b[k], raws[k] = [], [], b""
-        flat_a, flat_b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (ids_a, ids_b))
+        good = self._checked(parts, ids_a, ids_b)
+        part_a, part_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n[-1])) for x, n in ((ids_a, part_a), (ids_b, part_b)))
         a, b, closed = intervals(np.cumsum(self._size_a[flat_a]), np.cumsum(self._size_b[flat_b]))
         stop_a, stop_b = a[closed] + 1, b[closed] + 1  # of groups
-        part_a, part_b = (np.cumsum([len(ids) for ids in x]) for x in (ids_a, ids_b))
         groups = np.searchsorted(stop_a, part_a, side="right")  # up to the end of each part
         if self._links == "group":
             spans = zip(stop_a.tolist(), stop_b.tolist(), np.diff(stop_a, prepend=0).tolist(), np.diff(stop_b, prepend=0).tolist())
@@ -135,58 +151,56 @@ class Aligner:
         self._at[first:last] = self._used + upto - n_links
         self._good[first:last] = good
         self._used += len(pairs)
-        names_a, names_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        at_a = at_b = at = 0
-        stops_a, stops_b = stop_a.tolist(), stop_b.tolist()
-        for upto_group in groups.tolist():
-            text = []
-            for g in range(at, upto_group):
-                text.append(",".join(names_a[at_a : stops_a[g]]) + "|" + ",".join(names_b[at_b : stops_b[g]]))
-                at_a, at_b = stops_a[g], stops_b[g]
-            self._text.append(";".join(text))
-            at = upto_group
-
-    def slots(self, text: str | None) -> list[int]:
-        """The slots of a text's parts, in order, good until the next call; none without tokens."""
-        if len(self._slots) > _MAX_PARTS or self._chars > _MAX_CHARS:
-            self._forget()
-        if not text:
-            return []
-        text = " " + text
-        parts = _PART.findall(text) if self._cuts else [text]
+        # Names of A's tokens with what follows them, then B's, by group: a number after which comes a comma, a bar or a semicolon.
+        ends_a, ends_b = np.zeros(len(flat_a), bool), np.zeros(len(flat_b), bool)
+        ends_a[stop_a - 1], ends_b[stop_b - 1] = True, True
+        of_a, of_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        names = np.concatenate([self._names_a[flat_a + ends_a * len(self._bytes_a)], self._names_b[flat_b + ends_b * len(self._bytes_b)]])[order].tolist()
+        stops = (part_a + part_b).tolist()
+        self._text += ["".join(names[x:y])[:-1] for x, y in zip([0, *stops], stops)]
+
+    def _learn(self, parts: Iterable[str]) -> None:
         new = [p for p in dict.fromkeys(parts) if p not in self._slots]
         if new:
             self._chars += sum(map(len, new))
             self._slots.update(zip(new, range(len(self._text), len(self._text) + len(new))))
             self._add(new)
-        found = list(map(self._slots.__getitem__, parts))
-        if self._good[found].all():
-            return found
-        if len(parts) == 1:
-            return []
-        if text not in self._slots:
-            self._chars += len(text)
-            self._slots[text] = len(self._text)
-            self._add([text])
-        return [self._slots[text]] if self._good[self._slots[text]] else []
+
+    def slots(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The slots of each text's parts, in order, good until the next one is asked for; none without tokens."""
+        at = 0
+        while at < len(texts):
+            if len(self._slots) > _MAX_PARTS or self._chars > _MAX_CHARS:
+                self._forget()
+            parts, room = [], 0
+            while at < len(texts) and room < _CHARS_AT_ONCE:
+                text = " " + texts[at] if texts[at] else ""
+                parts.append(_PART.findall(text) if self._cuts else [text] if text else [])
+                room, at = room + len(text), at + 1
+            self._learn(chain.from_iterable(parts))
+            for some in parts:
+                found = np.fromiter(map(self._slots.__getitem__, some), np.int64, len(some))
+                if not self._good[found].all():
+                    whole = "".join(some)
+                    self._learn([whole])
+                    found = np.array([self._slots[whole]])
+                    if not self._good[found[0]]:
+                        found = found[:0]
+                yield found
 
     def align(self, texts: list[str | None]) -> list[str]:
         """The groups of each text as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-        out = []
-        for text in texts:
-            some = self.slots(text)
-            out.append(";".join(map(self._text.__getitem__, some)))
-        return out
+        return [";".join([self._text[k] for k in some.tolist()]) for some in self.slots(texts)]
 
     def __call__(self, texts: list[str | None]):
         """Links and their texts, and n_a, n_b, n_groups, n_links, groups and their sha256 of each text."""
         counts, pairs, digests = np.zeros((len(texts), 4), np.int64), [np.zeros(0, np.int64)], []
-        for k, text in enumerate(texts):
-            some = self.slots(text)
-            if not some:
+        for k, some in enumerate(self.slots(texts)):
+            if not len(some):
                 digests.append("")
                 continue
-            digests.append(hashlib.sha256(";".join(map(self._text.__getitem__, some)).encode()).hexdigest())
+            digests.append(hashlib.sha256(";".join(map(self._text.__getitem__, some.tolist())).encode()).hexdigest())
             own = self._counts[some]
             counts[k] = own.sum(axis=0)
             n = own[:, 3]
