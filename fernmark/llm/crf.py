@@ -1,8 +1,11 @@
 """A two-label linear-chain conditional random field over the words of lines, in numpy.
 
 A chain is a line of a text. Words are runs of ASCII letters, digits,
-apostrophes and bytes over 0x7F, with A-Z lower-cased. A word's features are
-its hash, its first 3 to 8 bytes and its last 4; a hashed weight each. All
+apostrophes and bytes over 0x7F, with A-Z lower-cased. Scripts that put no
+blanks between words (characters of three bytes or more, but for the block of
+general punctuation and symbols) are read by overlapping runs of characters:
+each character is a word that looks as far as the three after it. A word's features are
+the hash of all its bytes, its first 3 to 8 bytes and its last 4; a hashed weight each. All
 chains of a chunk run together, longest first, so a step of the forward or
 backward recursion is a few numpy calls for as many chains as are that long.
 """
@@ -20,6 +23,9 @@ N_FEATURES = len(_PREFIXES) + 2
 _CHUNK = 1 << 20
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = True
+#: First bytes of characters that are words of their own.
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xE0, 0xE1, *range(0xE3, 0xF8)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -42,21 +48,47 @@ class Words:
     begin: np.ndarray  # of the texts in the joined bytes
 
 
+def _cut(raw: np.ndarray, run_start: np.ndarray, run_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in runs, and how far each looks: to its end, or four characters on in scripts without blanks."""
+    wide = _WIDE[raw]
+    if not wide.any():
+        return run_start, run_end, run_end
+    lead = np.flatnonzero(_KEEP[raw] & ((raw & 0xC0) != 0x80))  # first bytes of characters
+    begins = wide[lead].copy()
+    begins[1:] |= wide[lead[:-1]]
+    start = np.union1d(run_start, lead[begins])
+    stop = run_end[np.searchsorted(run_end, start, side="right")]  # of the run
+    end = np.minimum(np.append(start[1:], len(raw)), stop)
+    at = np.searchsorted(lead, start)
+    ahead = np.append(lead, np.full(4, len(raw)))[at + 4]
+    return start, end, np.where(wide[start], np.minimum(ahead, stop), end)
+
+
+def _whole(folded: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, all of them."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    upto = np.cumsum(size)
+    place = np.arange(upto[-1]) - np.repeat(upto - size, size)
+    value = folded[np.repeat(start, size) + place].astype(np.uint64) + np.uint64(1)
+    return np.add.reduceat(_mix((place.astype(np.uint64) << np.uint64(9)) + value), upto - size)
+
+
 def words_of(texts: list[str | None]) -> Words:
     parts = [(t or "").encode() + b"\n" for t in texts]
     begin = np.cumsum([0, *map(len, parts)])
     raw = np.frombuffer(b"".join(parts) + b"\n" * 24, np.uint8)
     keep = _KEEP[raw]
     edge = np.diff(keep.astype(np.int8), prepend=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    run_start, run_end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end, look = _cut(raw, run_start, run_end)
     lines = np.cumsum(raw == 0x0A)
     folded = _FOLD[raw]
-    size = np.minimum(end - start, 24)
-    eight = folded[start[:, None] + np.arange(24)].reshape(-1, 24).view("<u8") if len(start) else np.zeros((0, 3), np.uint64)
-    first = eight[:, 0] & _MASKS[np.minimum(size, 8)]
-    whole = _mix(first + np.uint64(1)) + _mix((eight[:, 1] & _MASKS[np.clip(size - 8, 0, 8)]) + np.uint64(2)) + _mix((eight[:, 2] & _MASKS[np.clip(size - 16, 0, 8)]) + np.uint64(3))
-    whole = _mix(whole + (end - start).astype(np.uint64))
-    last = folded[np.maximum(end[:, None] - np.arange(4, 0, -1), start[:, None])].reshape(-1, 4).view("<u4").ravel().astype(np.uint64)
+    size = look - start
+    eight = folded[start[:, None] + np.arange(8)].reshape(-1, 8).view("<u8").ravel() if len(start) else np.zeros(0, np.uint64)
+    first = eight & _MASKS[np.minimum(size, 8)]
+    whole = _mix(_whole(folded, start, size) + size.astype(np.uint64))
+    last = folded[np.maximum(look[:, None] - np.arange(4, 0, -1), start[:, None])].reshape(-1, 4).view("<u4").ravel().astype(np.uint64)
     keys = [whole, _mix(last + (np.uint64(99) << np.uint64(48)))]
     for n in _PREFIXES:
         cut = first & _MASKS[np.minimum(size, n)]

@@ -2,7 +2,8 @@
 
 Fitting counts byte 3- and 4-grams of letters by language on a bounded sample
 (``PER_LANGUAGE`` documents each) and says a language contains a gram if it has
-it often enough against the language that has it most. The filter is a Bloom
+it often enough against the language that has it most. Of a language with at
+least ``_FEW`` documents in the sample, grams count that it has three times. The filter is a Bloom
 filter whose slots hold a word of one bit for each language instead of a single
 bit (so bits of one language form a slice): a gram sets its languages' bits in
 each of its slots, and the AND of these slots is the set of languages that
@@ -37,7 +38,8 @@ PER_LANGUAGE = 3000
 ORDERS = (3, 4)
 _SLOTS = 3
 _SHARE = 0.5
-_LEAST = 3
+#: Times a gram has to be seen in a language: once where there are few documents of it.
+_LEAST, _FEW = 3, 100
 _GAP = b"    "
 _CHUNK = 1 << 20
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -97,7 +99,8 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sample = bounded_sample(rows, lang_col, [id_col, text_col], per_language).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = sample.mapInArrow(_count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.where(F.col("n") >= _LEAST).toPandas()  # bounded by the sample
+    few = [r["lang"] for r in sample.groupBy("lang").count().collect() if r["count"] < _FEW]
+    counted = counted.where((F.col("n") >= _LEAST) | F.col("lang").isin(few)).toPandas()  # bounded by the sample
     languages = sorted(counted["lang"].unique())
     if not languages:
         return LanguageFilter([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents queue in an order drawn by md5 of their ids, up to
+Each source's documents queue in an order drawn by md5 of their ids and texts, up to
 ``max_repeats`` times one after another. A document's virtual finish time is the
 number of its source's words up to and with it, divided by the source's target.
 All documents, sorted by finish time, are taken while their words fit the total
@@ -71,7 +71,7 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """The mix itself: each row of ``docs``, all columns, as often as it is taken.
 
     Rows alike in id, text and source share what they are given: the least of them
-    by the other columns, which have to be orderable, stands for all.
+    by its columns written as JSON, which may be of any type, stands for all.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).cast("binary")
@@ -81,7 +81,7 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     # Only names made here stand beside the struct of the row, so none can clash.
     rows = docs.select(key.alias("key"), F.struct(*columns).alias("row")).join(broadcast_if_small(mixed, 1_000_000), "key")
     single = rows.where("alike = 1").select("row", "copies")
-    shared = rows.where("alike > 1").groupBy("key").agg(F.min("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
+    shared = rows.where("alike > 1").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"), F.first("copies").alias("copies")).select("row", "copies")
     return single.unionByName(shared).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
@@ -92,7 +92,8 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_rep
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, _KEY_BITS // 4), 16, 10).cast("long").alias("k"),
+        # Id and text, so that rows that share an id, or have none, are dealt to buckets like others.
+        F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary")), 1, _KEY_BITS // 4), 16, 10).cast("long").alias("k"),
     )
     sized = materialize(sized, "sized")
     bits = max(4, min(22, (sized.count() // _ROWS_A_BUCKET).bit_length()))
@@ -109,8 +110,13 @@ def _queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, max_rep
     slots, last = 1 << bits, 4 << bits
     entries = queued.where("target > 0").withColumn("copy", F.explode(F.array(*map(F.lit, range(max_repeats))))).withColumn("finish", _finish(F.col("copy")))
     entries = entries.withColumn("slot", F.least(F.floor(F.col("finish") * slots), F.lit(last)).cast("int"))
-    slot_sums = entries.groupBy("slot").agg(F.sum("size").alias("n"))
-    running = slot_sums.withColumn("upto_slot", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("slot"))).crossJoin(F.broadcast(sources.agg(F.max("budget").alias("budget"))))
+    # Two levels of running sums: at most 8,193 coarse slots in one window, then the slots of each.
+    slot_sums = entries.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("coarse", F.shiftright("slot", max(0, bits - 11)))
+    coarse = slot_sums.groupBy("coarse").agg(F.sum("n").alias("m"))
+    coarse = coarse.select("coarse", (F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("coarse")) - F.col("m")).alias("earlier"))
+    within = F.sum("n").over(Window.partitionBy("coarse").orderBy("slot"))
+    running = slot_sums.withColumn("within", within).join(F.broadcast(coarse), "coarse").withColumn("upto_slot", F.col("earlier") + F.col("within"))
+    running = running.crossJoin(F.broadcast(sources.agg(F.max("budget").alias("budget"))))
     cut = running.where("upto_slot > budget").agg(F.min(F.struct("slot", (F.col("budget") - F.col("upto_slot") + F.col("n")).alias("left"))).alias("c")).select("c.slot", F.col("c.left").alias("left"))
     place = F.struct("finish", "s", "k", "id", "size", "copy")
     near = entries.join(F.broadcast(cut), "slot")
@@ -131,7 +137,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(doc_id::VARCHAR), 1, 15) AS k FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, 15) AS k FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ordered AS (

@@ -430,8 +430,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns, that stay when each group of linked documents keeps one.
 
     That is the one with the lowest id (a null id comes last); of rows alike in id
-    and text one stays, the least by its other columns, which have to be
-    orderable. Rows without shingles link with nothing, so all of them stay.
+    and text one stays, the least by its columns written as JSON, so these may be
+    of any type, maps included. Rows without shingles link with nothing, so all of them stay.
     """
     rows = materialize(components_of_rows(docs, id_col=id_col, text_col=text_col, **options).where("component is not null"), "labelled")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("rid"))
@@ -443,7 +443,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return kept
     again = broadcast_if_small(repeated.toDF("fernmark row key"), MAX_BROADCAST_ROWS)
     same = row_key(id_col, text_col) == again["fernmark row key"]
-    one = kept.join(again, same, "left_semi").groupBy(row_key(id_col, text_col).alias("key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("r"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy(row_key(id_col, text_col).alias("key")).agg(F.min_by(row, F.to_json(row)).alias("r"))
     return kept.join(again, same, "left_anti").unionByName(one.select("r.*"))
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

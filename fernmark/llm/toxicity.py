@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fernmark.llm import crf
 from fernmark.llm._common import held_out, table
@@ -34,6 +35,8 @@ from fernmark.llm.sampling import bounded_sample, capped
 
 #: Most toxic documents that are fitted on; of clean ones, twice as many.
 PER_LABEL = 1200
+#: Most bytes of text of a label that are fitted on.
+MOST_BYTES = 32 << 20
 #: Least likelihood-ratio statistic, and least ratio of shares of documents, of a feature that stands out.
 _STANDS_OUT, _LIFT = 12.0, 8.0
 
@@ -138,7 +141,8 @@ def _fit(rows: pd.DataFrame, totals: dict[int, int]) -> ToxicityModel:
     rng = np.random.default_rng(0)
     order = rng.permutation(len(texts))
     parts, at = [], 0
-    for some in crf.chunks([texts[k] for k in order], 1 << 16):
+    # At least four parts, so that some are left that the CRF hasn't seen; of one text there is one part.
+    for some in crf.chunks([texts[k] for k in order], max(1, min(1 << 16, sum(map(len, texts)) // 6))):
         parts.append((crf.words_of(some), y[order[at : at + len(some)]]))
         at += len(some)
     clean = (totals[0] / (y == 0).sum()) / (totals[1] / (y == 1).sum())
@@ -205,7 +209,14 @@ def is_toxic(spark: SparkSession, model: ToxicityModel):
     return toxic
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> ToxicityModel:
+def _within(sample: DataFrame, label: str, keys: list[str], most_bytes: int) -> DataFrame:
+    """The rows of a bounded sample, in the order of its draw, up to so many bytes of text a label, or the first row."""
+    drawn = Window.partitionBy(label).orderBy(F.xxhash64(*keys, F.lit("bytes")), *keys)
+    sized = sample.withColumn("_upto", F.sum(F.octet_length("t")).over(drawn)).withColumn("_at", F.row_number().over(drawn))
+    return sized.where((F.col("_upto") <= most_bytes) | (F.col("_at") == 1)).drop("_upto", "_at")
+
+
+def fit_on_labels(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_bytes: int = MOST_BYTES) -> ToxicityModel:
     """On the rows of ``labels`` outside the held-out fifth. They are sampled before the join, so the sample, bounded
     by ``per_label``, is broadcast and no text is shuffled."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").alias("i"), F.col("toxic").alias("y"))
@@ -213,7 +224,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL
     sample = bounded_sample(known, "y", ["i"], most)
     texts = docs.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("t"))
     found = texts.join(F.broadcast(sample), F.col("d") == F.col("i")).select("i", "y", "t")
-    return _fit(capped(found, "y", ["i", "t"], most).toPandas(), _totals(known, "y"))  # documents may share an id
+    return _fit(_within(capped(found, "y", ["i", "t"], most), "y", ["i", "t"], most_bytes).toPandas(), _totals(known, "y"))  # documents may share an id
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

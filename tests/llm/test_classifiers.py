@@ -39,10 +39,10 @@ def test_filter_holds_the_languages_of_each_gram(spark):
         for grams, order in zip(langid._grams([t] * 5)[0], langid.ORDERS):
             for g, n in zip(*np.unique(grams, return_counts=True)):
                 counts.setdefault((order, int(g)), {})[lang] = int(n)
-    totals = {(order, lang): sum(c[lang] for (o, _), c in counts.items() if o == order and c.get(lang, 0) >= langid._LEAST) for order in langid.ORDERS for lang in texts}
+    totals = {(order, lang): sum(c.get(lang, 0) for (o, _), c in counts.items() if o == order) for order in langid.ORDERS for lang in texts}
     extra = 0
     for (order, gram), c in counts.items():
-        share = {lang: n / totals[order, lang] for lang, n in c.items() if n >= langid._LEAST}
+        share = {lang: n / totals[order, lang] for lang, n in c.items()}
         want = {lang for lang, p in share.items() if p >= langid._SHARE * max(share.values())}
         word = np.uint64(2**64 - 1)
         for at in langid._slots(np.array([gram], np.uint64), len(model.words).bit_length() - 1):
@@ -53,6 +53,14 @@ def test_filter_holds_the_languages_of_each_gram(spark):
     assert extra <= 0.05 * len(counts)
 
 
+def test_few_texts_are_enough(spark):
+    """One text of each language: its grams count though they are seen once."""
+    texts = {"en": "the cat sat over there", "de": "der hund schlief dort drüben", "fr": "le chien dormait ici"}
+    model = langid.fit(spark.createDataFrame([(k, t, g) for k, (g, t) in enumerate(texts.items())], "doc_id long, text string, lang string"))
+    langs, scores = langid.decide(model, list(texts.values()))
+    assert langs == list(texts) and (scores > 0.5).all()
+
+
 def brute_predict(model, text):
     """Hits of each language counted gram by gram."""
     import numpy as np
@@ -121,6 +129,69 @@ def test_documents_that_share_an_id_with_a_label(spark):
     assert sampling.capped(docs, "doc_id", ["text"], {1: 10, 2: 20}).groupBy("doc_id").count().collect() and sampling.capped(docs, "doc_id", ["text"], {1: 10, 2: 20}).count() == 30
 
 
+def brute_score(model, text):
+    """Score and spans of one text by loops over words and lines; features are those of the words alone."""
+    import math
+
+    w = crf.words_of([text])
+    e = [sum(float(model.crf.weights[int(f) >> (64 - crf.BITS)]) for f in row) + model.crf.bias for row in w.features.tolist()]
+    m, odds = model.crf.moves, []
+    for line in sorted(set(w.chain.tolist())):
+        own = [e[k] for k in range(len(e)) if w.chain[k] == line]
+        n = len(own)
+        forward, backward = [[0.0, own[0]]], [[0.0, 0.0]]
+        add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        for k in range(1, n):
+            forward.append([add(forward[-1][0] + m[0][v], forward[-1][1] + m[1][v]) + own[k] * v for v in (0, 1)])
+        for k in range(n - 2, -1, -1):
+            after = backward[0]
+            backward.insert(0, [add(m[u][0] + after[0], m[u][1] + own[k + 1] + after[1]) for u in (0, 1)])
+        odds += [f[1] + b[1] - f[0] - b[0] for f, b in zip(forward, backward)]
+    top = max([-12.0, *(min(12.0, max(-12.0, x)) for x in odds)])
+    expected = sum(1 / (1 + math.exp(-x)) for x in odds if x > 0)
+    z = float(model.final @ [1.0, top / 4, math.log1p(expected)])
+    spans = []
+    for k, x in enumerate(odds):
+        if x >= 0:
+            if spans and spans[-1][2] == k - 1 and w.chain[k] == w.chain[k - 1]:
+                spans[-1] = (spans[-1][0], int(w.end[k]), k)
+            else:
+                spans.append((int(w.start[k]), int(w.end[k]), k))
+    return 1 / (1 + math.exp(-z)), [s[:2] for s in spans]
+
+
+def test_scores_against_brute_force(spark):
+    """The query's scores, predictions and spans, recomputed for some texts of each kind one by one."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = sorted(rows_of(toxicity.op4_toxicity(spark, sf_dir)), key=lambda r: -r["score"])
+    texts = {r["doc_id"]: r["text"] for r in rows_of(docs)}
+    for r in got[:25] + got[25::40]:
+        score, spans = brute_score(model, texts[r["doc_id"]])
+        assert abs(score - r["score"]) < 1e-6 and [(s["start"], s["end"]) for s in r["spans"]] == spans
+        assert r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_words_are_read_whole(spark):
+    """Words that differ after their first 24 bytes, and one character in the middle of a clause without blanks."""
+    long = "abcdefghijklmnopqrstuvwxyz" * 2
+    a, b = (crf.words_of([long[:30] + x + long[30:]]).features[0] for x in "xy")
+    assert a[0] != b[0]
+    clause = "今天的天气非常好我们一起去公园散步然后回家吃饭"
+    vile = clause[:11] + "恶毒" + clause[11:]
+    w = crf.words_of([vile])
+    assert [vile.encode()[s:e].decode() for s, e in zip(w.start, w.end)] == list(vile)
+    rows = [(k, clause[k % 7 :] + str(k) if k % 3 else clause[k % 5 :] [:8] + "恶毒" + clause[8 + k % 4 :] + str(k), int(k % 3 == 0)) for k in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    (bad, good), (spans, none) = toxicity.score_texts(model, ["你" + vile + "吗", clause + "吗"])
+    assert bad > 0.5 > good and not none
+    assert any("恶" in ("你" + vile + "吗").encode()[s["start"] : s["end"]].decode() for s in spans)
+    mixed = "naïve’s word ไทย x"
+    m = crf.words_of([mixed])
+    assert [mixed.encode()[s:e].decode() for s, e in zip(m.start, m.end)] == ["naïve’s", "word", "ไ", "ท", "ย", "x"]
+
+
 def labelled(n, seed):
     rng = random.Random(seed)
     common = "the a of and to in is was by with".split()

@@ -130,6 +130,16 @@ def test_mix_of_rows_alike(spark):
         assert sum(r["copies"] for r in taken if r["source"] == source) == sum(r["source"] == source for r in out)
 
 
+def test_stages_keep_columns_of_any_type(spark, awkward, tmp_path):
+    """A map column, which has no order, in rows that repeat."""
+    from pyspark.sql import functions as F
+
+    docs, sf, _ = awkward
+    docs = docs.withColumn("about", F.create_map(F.lit("k"), F.col("size")))
+    kept = stages(spark, docs, sf, tmp_path)
+    assert all("about" in r for r in kept["mixing"][1]) and len(kept["tokens"][1]) == len(kept["mixing"][1])
+
+
 def test_missing_package_or_missing_library():
     """Only the absence of the subpackage is excused."""
     import subprocess
