@@ -13,8 +13,11 @@ def connect(sf_dir):
 
 
 def rows(frame, columns):
-    out = frame[columns].astype(object)
-    return sorted(map(tuple, out.where(frame[columns].notna(), None).astype(str).to_numpy().tolist()))
+    frame = frame[columns].copy()
+    for c in columns:  # whole numbers with nulls among them are floats in pandas, or not
+        if str(frame[c].dtype) == "float64" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all():
+            frame[c] = frame[c].astype("Int64")
+    return sorted(map(tuple, frame.astype(object).where(frame.notna(), None).astype(str).to_numpy().tolist()))
 
 
 def check(db, got, sql):
