@@ -29,12 +29,12 @@ def _axes(bits: int) -> tuple[int, int]:
 
 def cell_x(lon: Column, bits: int) -> Column:
     n = 1 << _axes(bits)[0]
-    return F.least(F.floor((lon + 180) / 360 * n), F.lit(n - 1)).cast("long")
+    return F.when(lon.isNotNull(), F.least(F.floor((lon + 180) / 360 * n), F.lit(n - 1)).cast("long"))
 
 
 def cell_y(lat: Column, bits: int) -> Column:
     n = 1 << _axes(bits)[1]
-    return F.least(F.floor((lat + 90) / 180 * n), F.lit(n - 1)).cast("long")
+    return F.when(lat.isNotNull(), F.least(F.floor((lat + 90) / 180 * n), F.lit(n - 1)).cast("long"))
 
 
 def cell_text(x: Column, y: Column, bits: int) -> Column:
@@ -152,3 +152,9 @@ def all_cells(spark: SparkSession, bits: int) -> DataFrame:
     x, y = F.pmod("id", F.lit(nx)), F.expr(f"id div {nx}")
     cells = spark.range(nx * ny).select(x.alias("x"), y.alias("y"))
     return cells.select(cell_text(F.col("x"), F.col("y"), bits).alias("cell"), F.array_sort(F.transform(around(F.col("x"), F.col("y"), bits), lambda c: cell_text(c["x"], c["y"], bits))).alias("around"))
+
+
+def cells_with_neighbours(df: DataFrame, lat: str, lon: str, bits: int) -> DataFrame:
+    """The cells that a table's points have, each with its neighbours, itself among them: cell, around."""
+    cells = df.select(cell_x(F.col(lon), bits).alias("x"), cell_y(F.col(lat), bits).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    return cells.select(cell_text(F.col("x"), F.col("y"), bits).alias("cell"), F.array_sort(F.transform(around(F.col("x"), F.col("y"), bits), lambda c: cell_text(c["x"], c["y"], bits))).alias("around"))

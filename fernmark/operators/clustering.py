@@ -1,4 +1,4 @@
-"""Clusters of vectors: k-means, spherical k-means, and agglomerative with a leaf order, by group."""
+"""Clusters of vectors: k-means, spherical k-means, and the trees, orders and cuts of agglomeration (``microclusters`` runs it by group)."""
 
 from __future__ import annotations
 
@@ -13,15 +13,21 @@ def normalised(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(n > 0, n, 1)
 
 
-def merges(vectors: np.ndarray, method: str = "ward") -> list[tuple[int, int, float]]:
-    """Merges (a, b, distance) by the Lance-Williams recurrence; the k-th makes cluster n + k."""
+def merges(vectors: np.ndarray, method: str = "ward", counts: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Merges (a, b, distance) by the Lance-Williams recurrence; the k-th makes cluster n + k.
+
+    Vectors may be centres of ``counts`` rows each.
+    """
     n = len(vectors)
     norms = np.einsum("ij,ij->i", vectors, vectors)
     d = np.maximum(norms[:, None] + norms[None] - 2 * vectors @ vectors.T, 0)
     if method != "ward":
         d = np.sqrt(d)
+    size = np.ones(n) if counts is None else counts.astype(float)
+    if method == "ward" and counts is not None:
+        d = d * (2 * size[:, None] * size / (size[:, None] + size))
     np.fill_diagonal(d, np.inf)
-    name, size, out = list(range(n)), np.ones(n), []
+    name, out = list(range(n)), []
     alive = np.ones(n, bool)
     near = d.argmin(axis=1) if n else np.zeros(0, int)  # of each row, kept up to date: a merge looks at n numbers, not n * n
     least = d[np.arange(n), near]
@@ -51,62 +57,6 @@ def merges(vectors: np.ndarray, method: str = "ward") -> list[tuple[int, int, fl
     return out
 
 
-def chained_merges(vectors: np.ndarray, method: str = "ward") -> list[tuple[int, int, float]]:
-    """What ``merges`` returns, but for ties, by chains of nearest neighbours: memory grows with the rows, not with their square."""
-    n = len(vectors)
-    centres, size, own = vectors.astype(float), np.ones(n), np.arange(n)
-    alive = np.ones(n, bool)
-
-    def distances(i: int) -> np.ndarray:
-        if method == "ward":
-            gap = centres - centres[i]
-            d = 2 * size * size[i] / (size + size[i]) * np.einsum("ij,ij->i", gap, gap)
-        else:
-            far = np.zeros(n)
-            for p in np.flatnonzero(own == i):
-                gap = vectors - vectors[p]
-                e = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                far = np.maximum(far, e) if method == "complete" else far + e
-            if method == "complete":
-                d = np.zeros(n)
-                np.maximum.at(d, own, far)
-            else:
-                d = np.bincount(own, far, n) / (size * size[i])
-        d[i] = np.inf
-        d[~alive] = np.inf
-        return d
-
-    chain, found = [], []
-    while len(found) < n - 1:
-        if not chain:
-            chain.append(int(np.argmax(alive)))
-        d = distances(chain[-1])
-        j = int(np.argmin(d))
-        if len(chain) < 2 or d[j] < d[chain[-2]] * (1 - 1e-9):  # rounding must not close a chain to a ring
-            chain.append(j)
-            continue
-        j, i = chain.pop(), chain.pop()
-        found.append((i, j, float(np.sqrt(d[i]) if method == "ward" else d[i])))
-        centres[i] = (size[i] * centres[i] + size[j] * centres[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        alive[j] = False
-        own[own == j] = i
-    # Chains find merges out of order: sorted by distance, they are named anew.
-    parent, name, out = list(range(n)), list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for k, (i, j, dist) in enumerate(sorted(found, key=lambda m: m[2])):
-        i, j = root(i), root(j)
-        out.append((min(name[i], name[j]), max(name[i], name[j]), dist))
-        parent[j], name[i] = i, n + k
-    return out
-
-
 def leaf_order(n: int, tree: list[tuple[int, int, float]]) -> list[int]:
     """Leaves from first to last, the left child of every merge first; the end with more of the larger branch leads."""
     if n == 0:
@@ -141,23 +91,6 @@ def cut(n: int, tree: list[tuple[int, int, float]], k: int) -> list[int]:
     return [seen[r] for r in roots]
 
 
-def agglomerate(df: DataFrame, group: str, id_col: str, vector: str, k: int, method: str = "ward", cosine: bool = False, max_rows: int = 2000) -> DataFrame:
-    """group, id, sort_order, cluster of all rows. A group is one task: up to ``max_rows`` rows its distances are one
-    matrix; for larger ones they are computed as chains of neighbours need them."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(id_col).reset_index(drop=True)
-        x = np.stack(rows[vector].to_numpy()).astype(float)
-        tree = (merges if len(rows) <= max_rows else chained_merges)(normalised(x) if cosine else x, method)
-        order = leaf_order(len(rows), tree)
-        place = np.empty(len(rows), int)
-        place[order] = np.arange(len(rows))
-        return pd.DataFrame({group: rows[group], id_col: rows[id_col], "sort_order": place, "cluster": cut(len(rows), tree, k)})
-
-    kinds = dict(df.dtypes)
-    return df.select(group, id_col, vector).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {id_col} {kinds[id_col]}, sort_order int, cluster int")
-
-
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 0, cosine: bool = False) -> DataFrame:
     """Adds ``cluster`` by distributed k-means."""
     from pyspark.ml.clustering import KMeans

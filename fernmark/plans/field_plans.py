@@ -43,15 +43,6 @@ def wrapped_longitudes(spark, sf_dir):
     return _places(spark, sf_dir).select("user_id", F.round(geo.wrap_longitude(F.col("lon")), 6).alias("lon"))
 
 
-@query("all_cells", f"""WITH c AS (SELECT unnest(range(0, 16)) AS x), a AS (SELECT x, y FROM c, (SELECT unnest(range(0, 8)) AS y)),
-n AS (SELECT x, y, (x + dx + 16) % 16 AS nx, y + dy AS ny FROM a, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE y + dy BETWEEN 0 AND 7),
-t AS (SELECT DISTINCT {_sql_cell('x', 'y', 7)} AS cell, {_sql_cell('nx', 'ny', 7)} AS near FROM n) SELECT cell, string_agg(near, ',' ORDER BY near) AS around, count(*) AS n FROM t GROUP BY cell""")
-def all_cells(spark, sf_dir):
-    """The 128 cells of seven bits with their neighbours."""
-    cells = geo.all_cells(spark, 7)
-    return cells.select("cell", F.array_join("around", ",").alias("around"), F.size("around").cast("long").alias("n"))
-
-
 _AUDIO = "'xc/' || p_partkey || CASE WHEN p_size > 25 THEN '.wav' ELSE '.mp3' END"
 
 

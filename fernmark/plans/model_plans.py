@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from fernmark import scratch
-from fernmark.operators import clustering, evals, models, projection, sampling, signal
+from fernmark.operators import clustering, evals, microclusters, models, projection, sampling, signal
 from fernmark.plans.registry import query, read
 from fernmark.streaming import aggregates
 
@@ -29,7 +29,7 @@ def spherical_kmeans_labels(spark, sf_dir):
 
 @query("agglom_leaf_order")
 def agglom_leaf_order(spark, sf_dir):
-    return clustering.agglomerate(_vectors(spark, sf_dir), "label", "vec_id", "embedding", 3, cosine=True)
+    return microclusters.agglomerate(_vectors(spark, sf_dir), "label", "vec_id", "embedding", 3, cosine=True)
 
 
 @query("pca_projection")

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fernmark import scratch
 from fernmark.functions import bars, dates, geo
-from fernmark.operators import priors
+from fernmark.operators import places, priors
 from fernmark.plans.registry import query, read
 
 _WEEK = "((month(ts) - 1) * 4 + least((day(ts) - 1) // 7, 3))::INT"
@@ -119,8 +120,22 @@ def geohash_neighbors(spark, sf_dir):
 SELECT {_sql_cell('x', 'y', 9)} AS loc, event_type, n_present, n, round(n_present / n, 6) AS p FROM s JOIN t USING (x, y)""")
 def geo_smooth_counts(spark, sf_dir):
     obs = _obs(spark, sf_dir).select("checklist", "event_type", geo.cell_x(F.col("lon"), 9).alias("x"), geo.cell_y(F.col("lat"), 9).alias("y"))
-    spread = priors.smooth_places(obs, "x", "y", 9, ["checklist", "event_type"])
-    return priors.presence(spread, ["loc"], "checklist", "event_type").withColumn("p", F.round("p", 6))
+    return priors.smoothed_presence(obs, "x", "y", 9, "checklist", "event_type").withColumn("p", F.round("p", 6))
+
+
+_TEN = list(range(3, 23, 2))
+
+
+def _sql_nested(bits: int) -> str:
+    loc = _sql_geohash("lat", "lon", bits)
+    return f"""SELECT {bits} AS bits, loc, week, event_type, n_present, n, round(n_present / n, 6) AS p FROM (SELECT {loc} AS loc, week, event_type, count(DISTINCT checklist) AS n_present FROM obs GROUP BY ALL)
+JOIN (SELECT {loc} AS loc, week, count(DISTINCT checklist) AS n FROM obs GROUP BY ALL) USING (loc, week)"""
+
+
+@query("nested_presence", f"WITH {_OBS} " + " UNION ALL ".join(map(_sql_nested, _TEN)))
+def nested_presence(spark, sf_dir):
+    """Shares of checklists by week and cell at ten precisions, from one pass."""
+    return priors.nested_presence(_obs(spark, sf_dir), "lat", "lon", _TEN, ["week"], "checklist", "event_type").withColumn("p", F.round("p", 6))
 
 
 @query("prior_predict", f"""WITH {_OBS}, b AS (SELECT DISTINCT {_sql_geohash('lat', 'lon', 7)} AS loc, week // 4 * 4 AS date_bin, checklist, event_type FROM obs),
@@ -151,6 +166,23 @@ def radius_filter(spark, sf_dir):
     return users.select("user_id", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(37.9), F.lit(-122.0)) / 1000, 3).alias("km"))
 
 
+@query("radius_pruned", f"WITH {_OBS}, u AS (SELECT DISTINCT user_id, lat, lon FROM obs) SELECT user_id, round({_KM} / 1000, 3) AS km FROM u WHERE {_KM} <= 4000000")
+def radius_pruned(spark, sf_dir):
+    """The rows of ``radius_filter`` from a table laid out by cell, of which only ranges that the circle needs are read."""
+    path = scratch.path(spark, "places")
+    places.write_layout(_obs(spark, sf_dir).select("user_id", "lat", "lon").distinct(), "lat", "lon", path, files=16)
+    found = places.within(spark.read.parquet(path), "lat", "lon", 37.9, -122.0, 4e6)
+    return found.select("user_id", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(37.9), F.lit(-122.0)) / 1000, 3).alias("km"))
+
+
+@query("all_cells", f"""WITH {_OBS}, c AS (SELECT DISTINCT floor((lon + 180) / 360 * 32)::BIGINT AS x, floor((lat + 90) / 180 * 16)::BIGINT AS y FROM obs),
+a AS (SELECT {_sql_cell('x', 'y', 9)} AS cell, {_sql_cell('((x + dx) + 32) % 32', 'y + dy', 9)} AS other FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE y + dy BETWEEN 0 AND 15)
+SELECT cell, array_to_string(list_sort(list(DISTINCT other)), ',') AS around FROM a GROUP BY cell""")
+def all_cells(spark, sf_dir):
+    """The cells that events have, each with its neighbours."""
+    return geo.cells_with_neighbours(_obs(spark, sf_dir), "lat", "lon", 9).select("cell", F.array_join("around", ",").alias("around"))
+
+
 @query("nearest_points", f"WITH {_OBS}, u AS (SELECT DISTINCT user_id, lat, lon FROM obs) SELECT user_id, round({_KM} / 1000, 3) AS km FROM u ORDER BY km, user_id LIMIT 10")
 def nearest_points(spark, sf_dir):
     users = _obs(spark, sf_dir).select("user_id", "lat", "lon").distinct()

@@ -128,25 +128,6 @@ def test_spectrogram_of_a_sine():
     assert signal.mfcc(signal.mel_db(np.random.default_rng(0).normal(size=4096), rate)).shape[0] == 13
 
 
-@pytest.mark.parametrize("method", ["ward", "complete", "average"])
-def test_chained_merges(method):
-    x = np.random.default_rng(3).normal(size=(120, 5))
-    want, got = clustering.merges(x, method), clustering.chained_merges(x, method)
-    assert [m[:2] for m in got] == [m[:2] for m in want]
-    assert np.allclose([m[2] for m in got], [m[2] for m in want])
-    assert clustering.chained_merges(x[:1], method) == []
-    same = clustering.chained_merges(np.zeros((6, 2)), method)
-    assert len(same) == 5 and sorted(clustering.leaf_order(6, same)) == list(range(6))
-
-
-def test_agglomerate_groups_of_any_size(spark):
-    rng = np.random.default_rng(4)
-    rows = [(k, "ab"[k % 3 == 0], rng.normal(size=4).tolist()) for k in range(90)]
-    df = spark.createDataFrame(rows, "id long, label string, v array<double>")
-    want, got = (sorted(map(tuple, clustering.agglomerate(df, "label", "id", "v", 3, cosine=True, max_rows=m).collect())) for m in (2000, 40))
-    assert got == want and len(got) == 90
-
-
 def test_top_groups(spark):
     df = spark.createDataFrame([(k, "ab"[k % 2], [1.0, float(k)]) for k in range(12)], "id long, g string, v array<double>")
     p = spark.createDataFrame([("a", 0.2), ("b", 0.7), ("c", 0.1)], "g string, p double")
