@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from fernmark import scratch
 from fernmark.operators import clustering, evals, microclusters, models, projection, sampling, signal
-from fernmark.plans.registry import query, read
-from fernmark.streaming import aggregates
+from fernmark.plans.registry import ORACLES, query, read
+from fernmark.plans.segment_plans import _flags as segments_of
+from fernmark.streaming import aggregates, closing
 
 
 def _vectors(spark, sf_dir):
@@ -108,3 +109,25 @@ def stream_daily_counts(spark, sf_dir):
 def stream_running_range(spark, sf_dir):
     """Smallest and largest values so far, at the end of the stream."""
     return _finished(spark, aggregates.running_range(_event_stream(spark, sf_dir, "user_id", "value"), "user_id", "value"), "range")
+
+
+@query("stream_events", ORACLES["merged_events"])
+def stream_events(spark, sf_dir):
+    """Events of each user as a stream closes them: all rows, then a restart with late rows that only move the watermark on."""
+    closing.with_rocksdb(spark)
+    source, out, log = (scratch.path(spark, name) for name in ("flags", "events", "events-log"))
+    flags = segments_of(spark, sf_dir).select("user_id", "event_id", "flag", F.col("ts").cast("timestamp").alias("ts"))
+    flags.write.parquet(source)
+    last = flags.agg(F.max("ts").alias("ts"))
+
+    def run():
+        rows = spark.readStream.schema(flags.schema).parquet(source)
+        found = closing.closed_events(rows, "user_id", "event_id", "flag", "ts", least=4, gap=1, silence="30 days")
+        found.writeStream.option("checkpointLocation", log).foreachBatch(closing.append_once(out)).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    for days in (100, 200):
+        later = last.select(F.lit(None).cast("long").alias("user_id"), F.lit(0).cast("long").alias("event_id"), F.lit(False).alias("flag"), (F.col("ts") + F.expr(f"INTERVAL {days} DAYS")).alias("ts"))
+        later.write.mode("append").parquet(source)
+        run()
+    return closing.appended(spark, out).where("user_id IS NOT NULL")

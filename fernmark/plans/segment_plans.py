@@ -11,7 +11,7 @@ _FLAG = "f AS (SELECT user_id, event_id, value > 50 AS flag FROM events)"
 
 
 def _flags(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 50).alias("flag"))
+    return read(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") > 50).alias("flag"))
 
 
 @query("majority_filter", f"WITH {_FLAG} SELECT user_id, event_id, sum(flag::INT) OVER w * 2 > count(*) OVER w AS smooth FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
