@@ -51,12 +51,28 @@ def funnel(df: DataFrame, group: str, key: str, *, least: int | None = None, n_g
     return df
 
 
+#: Parts of the range of draws in which a class's test rows are counted.
+_PARTS = 4096
+
+
 def stratified_split(df: DataFrame, group: str, key: str, test_share: float, seed: str = "") -> DataFrame:
-    """Adds ``is_test``: the first ceil(share x size) rows of each class with two rows or more, by the draw."""
-    w = Window.partitionBy(group)
-    order = w.orderBy(draw(key, seed), key)
-    size = F.count("*").over(w)
-    return df.withColumn("is_test", (size >= 2) & (F.row_number().over(order) <= F.ceil(size * test_share))).where(F.col(group).isNotNull())
+    """Adds ``is_test``: the first ceil(share x size) rows of each class with two rows or more, by the draw.
+
+    Counts of classes by parts of the draws' range say in which part the last test row
+    is. Rows of earlier parts are test rows, and only within a part rows are
+    numbered, so a large class is many windows.
+    """
+    part = F.conv(F.substring(draw(key, seed), 1, 3), 16, 10).cast("int")  # three digits: _PARTS parts
+    rows = df.where(F.col(group).isNotNull()).withColumn("_part", part)
+    counts = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    by_class = Window.partitionBy(group)  # _PARTS rows at most
+    upto = F.sum("_n").over(by_class.orderBy("_part"))
+    size = F.sum("_n").over(by_class)
+    cuts = counts.withColumn("_before", upto - F.col("_n")).withColumn("_want", F.when(size >= 2, F.ceil(size * test_share)).otherwise(0))
+    cuts = cuts.withColumn("_left", F.col("_want") - F.col("_before")).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_left", "_n")
+    met = rows.join(cuts, (F.col(group) == F.col("_g")) & (F.col("_part") == F.col("_p")))
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(draw(key, seed), key))
+    return met.withColumn("is_test", (F.col("_left") > 0) & ((F.col("_left") >= F.col("_n")) | (place <= F.col("_left")))).select(*df.columns, "is_test")
 
 
 def batched(df: DataFrame, key: str, n: int, seed: str = "", name: str = "batch") -> DataFrame:

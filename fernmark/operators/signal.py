@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NPERSEG, HOP = 512, 256
@@ -98,6 +99,28 @@ def thumbnail_start(x: np.ndarray, rate: float, *, seconds: float = 1.0, search:
     return float(np.clip(loud.argmax() / per_second - seconds / 2, 0, len(x) / rate))
 
 
+def quiet(samples: Column, window: int, threshold: float, least: int) -> Column:
+    """``quiet_runs`` of each row's samples: array of {start, end}."""
+
+    @F.arrow_udf("array<struct<start:long,end:long>>")
+    def found(batch: pa.Array) -> pa.Array:
+        runs = [quiet_runs(x.values.to_numpy(zero_copy_only=False), window, threshold, least) if x.is_valid else [] for x in batch]
+        return pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    return found(samples.cast("array<double>"))
+
+
+def spectra(samples: Column, rate: float, nperseg: int = NPERSEG, hop: int = HOP) -> Column:
+    """Magnitudes of each row's ``spectrogram``: an array of frames, each an array of frequencies."""
+
+    @F.arrow_udf("array<array<double>>")
+    def found(batch: pa.Array) -> pa.Array:
+        made = [spectrogram(x.values.to_numpy(zero_copy_only=False), rate, nperseg, hop)[2].T.tolist() if x.is_valid else None for x in batch]
+        return pa.array(made, pa.list_(pa.list_(pa.float64())))
+
+    return found(samples.cast("array<double>"))
+
+
 def mel_features(recordings: DataFrame, rate: float, *, id_col: str = "id", samples_col: str = "samples", n_mels: int = 40) -> DataFrame:
     """id and mel: one array of decibels for each band."""
 

@@ -20,19 +20,74 @@ def running_range(values: DataFrame, key: str, value: str) -> DataFrame:
     return values.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"))
 
 
-def upsert_latest(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the newest row of each key in a Parquet table of numbered snapshots."""
+def upsert_latest(path: str, key: str, version: str, buckets: int = 64, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keeps the newest row of each key. ``upserted`` reads the table.
+
+    Keys are dealt to buckets by hash. A batch reads and rewrites only the buckets that
+    it has keys of, and then writes which version of each bucket counts: that makes the
+    batch take effect, so one that fails midway changes nothing, and one that runs again
+    starts from the versions before it, whatever numbers are missing. Versions that the last ``keep``
+    batches don't name are removed.
+    """
     from fernmark.operators.dedup import latest
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = batch.sparkSession.read.parquet(f"{path}/{number - 1}").unionByName(batch)
-        latest(rows, [key], version).write.mode("overwrite").parquet(f"{path}/{number}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        before = _versions(spark, path, number)
+        touched = sorted(r["_bucket"] for r in rows.select("_bucket").distinct().collect())  # ``buckets`` numbers at most
+        old = [f"{path}/data/{before[b]}/_b={b}" for b in touched if b in before]
+        if old:
+            held = spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            rows = held.unionByName(rows)
+        newest = latest(rows, [key], version).withColumn("_b", F.col("_bucket")).drop("_bucket")
+        newest.repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{path}/data/{number}")
+        now = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/{number}")
+        _forget_versions(spark, path, number, keep)
 
     return merge
 
 
+def _children(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders below a path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(root) if f.getPath().getName().isdigit())
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose versions were written whole."""
+    from fernmark.sources.sinks import exists
+
+    return [n for n in _children(spark, f"{path}/versions") if exists(spark, f"{path}/versions/{n}/_SUCCESS")]
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The version of each bucket after the newest batch, or the newest before a number."""
+    done = [n for n in _complete(spark, path) if before is None or n < before]
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/versions/{done[-1]}").collect()} if done else {}
+
+
+def _forget_versions(spark: SparkSession, path: str, number: int, keep: int) -> None:
+    done = [n for n in _complete(spark, path) if n <= number]
+    named = {v for n in done[-keep:] for v in _versions(spark, path, n + 1).values()}
+    gone = [f"{path}/versions/{n}" for n in done[:-keep]] + [f"{path}/data/{n}" for n in _children(spark, f"{path}/data") if n <= number and n not in named]
+    for folder in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_latest`` keeps."""
+    found = _versions(spark, path)
+    if not found:
+        raise ValueError(f"no rows were written below {path}")
+    return spark.read.parquet(*[f"{path}/data/{v}/_b={b}" for b, v in found.items()])
+
+
 class OnlineSphericalKMeans:
     """For ``foreachBatch``: unit centres that move to each batch's vectors, weighted by how often they were hit.
 

@@ -88,10 +88,18 @@ def test_chunked_frames_equal_whole():
 
 
 def test_upsert_and_online_clusters(spark, tmp_path):
-    merge = aggregates.upsert_latest(str(tmp_path / "u"), "k", "v")
-    for n, rows in enumerate([[(1, 1)], [(1, 2), (2, 1)]]):
-        merge(spark.createDataFrame(rows, "k int, v int"), n)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "u" / "1")).collect())) == [(1, 2), (2, 1)]
+    path = str(tmp_path / "u")
+    merge = aggregates.upsert_latest(path, "k", "v", buckets=4)
+    batches = {0: [(k, 1) for k in range(40)], 1: [(1, 2), (2, 1)], 4: [(3, 9), (3, 8), (50, 1)], 5: []}
+    want = {}
+    for n, rows in batches.items():
+        for _ in range(2):  # runs again, and finds the versions before it
+            merge(spark.createDataFrame(rows, "k int, v int"), n)
+        for k, v in rows:
+            want[k] = max(v, want.get(k, 0))
+        assert dict(map(tuple, aggregates.upserted(spark, path).collect())) == want
+    data = {int(p.name): sum(1 for b in p.iterdir() if b.is_dir()) for p in (tmp_path / "u" / "data").iterdir()}
+    assert data[4] <= 2 and 0 < data.get(0, 4) <= 4 and len(list((tmp_path / "u" / "versions").iterdir())) <= 2  # untouched buckets are left alone
     model = aggregates.OnlineSphericalKMeans(np.eye(2))
     model(spark.createDataFrame([([1.0, 0.1],)], "v array<double>"), 0)
     other = aggregates.OnlineSphericalKMeans(np.eye(2))
