@@ -55,6 +55,24 @@ def cell_text(x: Column, y: Column, bits: int) -> Column:
     return F.concat(*chars)
 
 
+def number_of(x: Column, y: Column, bits: int) -> Column:
+    """A cell as a number: the bits of its geohash. Shifted to the right by n it is the cell of n bits less that holds it."""
+    of_x, of_y = _axes(bits)
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        axis, left = (x, of_x - 1 - k // 2) if k % 2 == 0 else (y, of_y - 1 - k // 2)
+        out = out * 2 + F.shiftright(axis, left).bitwiseAND(F.lit(1).cast("long"))
+    return out
+
+
+def number_text(number: Column, bits: Column, most: int) -> Column:
+    """The text of a cell's number, whose bits (``most`` at most) may differ by row."""
+    n = -(-most // 5)
+    padded = F.call_function("shiftleft", number, (F.lit(5 * n) - bits).cast("int"))
+    chars = bound(padded, lambda v: F.concat(*[F.substring(F.lit(ALPHABET), F.shiftright(v, 5 * (n - 1 - k)).bitwiseAND(F.lit(31).cast("long")).cast("int") + 1, F.lit(1)) for k in range(n)]))
+    return F.substring(chars, F.lit(1), F.ceil(bits / 5).cast("int"))
+
+
 def geohash(lat: Column, lon: Column, bits: int) -> Column:
     """Geohash of a point at ``bits`` bits."""
     return cell_text(cell_x(lon, bits), cell_y(lat, bits), bits)

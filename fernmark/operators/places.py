@@ -22,13 +22,7 @@ BITS, MOST = 30, 48
 
 def cell_number(lat: Column, lon: Column, bits: int = BITS) -> Column:
     """A point's cell as a number of ``bits`` bits: those of its geohash."""
-    x, y = geo.cell_x(lon, bits), geo.cell_y(lat, bits)
-    of_x, of_y = (bits + 1) // 2, bits // 2
-    out = F.lit(0).cast("long")
-    for k in range(bits):
-        axis, left = (x, of_x - 1 - k // 2) if k % 2 == 0 else (y, of_y - 1 - k // 2)
-        out = out * 2 + F.shiftright(axis, left).bitwiseAND(F.lit(1).cast("long"))
-    return out
+    return geo.number_of(geo.cell_x(lon, bits), geo.cell_y(lat, bits), bits)
 
 
 def _boxes(lat: float, lon: float, metres: float) -> list[tuple[float, float, float, float]]:

@@ -34,13 +34,14 @@ def nested_presence(obs: DataFrame, lat: str, lon: str, precisions: Sequence[int
     cell that holds any of them.
     """
     fine = max(precisions)
-    seen = obs.select(*bins, checklist, kind, geo.cell_x(F.col(lon), fine).alias("_x"), geo.cell_y(F.col(lat), fine).alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    by_list = seen.groupBy(*bins, checklist).agg(F.collect_set(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col(kind).alias("k"))).alias("_s"))
+    x, y = geo.cell_x(F.col(lon), fine), geo.cell_y(F.col(lat), fine)
+    seen = obs.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*bins, checklist, kind, x.alias("_x"), y.alias("_y"))
+    seen = seen.select(*bins, checklist, F.struct(geo.number_of(F.col("_x"), F.col("_y"), fine).alias("c"), F.col(kind).alias("k")).alias("_e"))
+    by_list = seen.groupBy(*bins, checklist).agg(F.collect_set("_e").alias("_s"))
 
-    def at(cell: Column, bits: int) -> Column:
+    def at(seen_at: Column, bits: int) -> Column:
         """The number of the cell of ``bits`` bits that holds a finest cell."""
-        dx, dy = (fine + 1) // 2 - (bits + 1) // 2, fine // 2 - bits // 2
-        return F.shiftleft(F.shiftright(cell["x"], dx), 31) + F.shiftright(cell["y"], dy)
+        return F.shiftright(seen_at["c"], fine - bits)
 
     # Of each cell at each precision one finest cell counts for the checklist, with each kind there and once without a kind.
     names = [f"_c{b}" for b in precisions]
@@ -64,11 +65,8 @@ def nested_presence(obs: DataFrame, lat: str, lon: str, precisions: Sequence[int
     counted = summed.withColumn("_w", which.cast("int")).withColumn("_cell", F.coalesce(*names)).where("_cell IS NOT NULL")
     whole = Window.partitionBy("_w", "_cell", *bins)  # a row for each kind of one bin
     shares = counted.withColumn("_n", F.max(F.when(F.col("kind").isNull(), F.col("n"))).over(whole)).where(F.col("kind").isNotNull())
-    x, y = F.shiftright("_cell", 31), F.col("_cell").bitwiseAND(F.lit((1 << 31) - 1).cast("long"))
-    loc = F.lit(None).cast("string")
-    for k, b in enumerate(precisions):
-        loc = F.when(F.col("_w") == k, geo.cell_text(x, y, b)).otherwise(loc)
     bits = F.element_at(F.array(*map(F.lit, precisions)), F.col("_w") + 1)
+    loc = geo.number_text(F.col("_cell"), bits, fine)
     return shares.select(bits.alias("bits"), loc.alias("loc"), *bins, F.col("kind").alias(kind), F.col("n").alias("n_present"), F.col("_n").alias("n"), (F.col("n") / F.col("_n")).alias("p"))
 
 
