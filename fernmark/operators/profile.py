@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fernmark.scratch import small
+from fernmark.scratch import kept, small
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -66,7 +66,7 @@ def day_sections(df: DataFrame, ts: str, item: list[str], limit: int) -> DataFra
 def zero_filled(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Counts over every pair of values of two dimensions, 0 where there is none. For dimensions, not for ids."""
     counts = df.groupBy(a, b).agg(F.sum(value).alias(value))
-    grid = df.select(a).distinct().crossJoin(small(df.select(b).distinct()))
+    grid = df.select(a).distinct().crossJoin(small(kept(df.select(b).distinct(), "dimension")))
     return grid.join(counts, [a, b], "left").fillna(0, [value])
 
 

@@ -97,9 +97,20 @@ def nearest_per_group(candidates: DataFrame, query: DataFrame, vector: str, id_c
 def top_groups(candidates: DataFrame, query: DataFrame, vector: str, id_col: str, group: str, k: int, n: int, probabilities: DataFrame, metric: str = "cosine") -> DataFrame:
     """The likeliest ceil(n / k) groups that candidates are left of, ``k`` nearest rows of each; of a lone group ``n`` rows."""
     left = candidates.select(group).distinct().join(probabilities, group)
-    likely = left.orderBy(F.desc("p"), group).limit(-(-n // k))
-    lone = left.limit(2).count() == 1
-    return nearest_per_group(candidates, query, vector, id_col, group, n if lone else k, n, likely, metric)
+    # One row more than is taken says whether a group is alone.
+    likely = left.orderBy(F.desc("p"), group).limit(max(2, -(-n // k)))
+    place = Window.partitionBy(F.lit(0)).orderBy(F.desc("p"), group)
+    likely = likely.withColumn("_place", F.row_number().over(place)).withColumn("_all", F.count("*").over(Window.partitionBy(F.lit(0)))).where(F.col("_place") <= -(-n // k))
+    each = F.when(F.col("_all") == 1, n).otherwise(k)
+    surprise = F.round(vectors.surprise(F.col("p")), 6).alias("slp")
+    rows = candidates.join(F.broadcast(likely.select(group, surprise, each.alias("_k"))), group)  # n rows at most
+    order = [F.col(f"d_{metric}"), F.col(id_col)]
+    ranked = top_k_per_group(with_distances(rows, query, vector, [metric], other_than=id_col), [group], order, n).where("rank <= _k").drop("_k")
+    return ranked.orderBy(F.col("slp"), *order).limit(n)
+
+
+#: Pairs of rows and queries up to which ``batch_nearest`` looks at all of them.
+MAX_PAIRS = 1 << 32
 
 
 def _packed(rows: DataFrame, id_col: str, vector: str, size: int) -> DataFrame:
@@ -113,9 +124,14 @@ def batch_nearest(rows: DataFrame, queries: DataFrame, vector: str, id_col: str,
 
     Rows and queries are packed into blocks of bounded size, and each pair of
     blocks is one matrix product that returns its own first ``k`` of each query;
-    these are ranked once more. A vector of zeros is near nothing.
+    these are ranked once more. A vector of zeros is near nothing. Over ``MAX_PAIRS``
+    pairs of rows and queries the same rows are found through an inverted file.
     """
     kind = dict(rows.dtypes)[id_col]
+    if rows.count() * queries.count() > MAX_PAIRS:
+        from fernmark.operators import inverted_file
+
+        return inverted_file.nearest(inverted_file.build(rows, id_col, vector), queries, k, digits=digits).drop("looked")
     pairs = _packed(rows, id_col, vector, block).withColumnRenamed("_r", "rows").crossJoin(_packed(queries, id_col, vector, block).withColumnRenamed("_r", "queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

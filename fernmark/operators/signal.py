@@ -92,11 +92,10 @@ def thumbnail_start(x: np.ndarray, rate: float, *, seconds: float = 1.0, search:
     if len(t) < 2:
         return 0.0
     per_second = 1 / (t[1] - t[0])
-    loud = smoothed(s.sum(axis=0), sigma * per_second).copy()
-    last = int(seconds * per_second)
-    if last:
-        loud[-last:] = 0
-    return float(np.clip(loud.argmax() / per_second - seconds / 2, 0, len(x) / rate))
+    loud = smoothed(s.sum(axis=0), sigma * per_second)
+    middles = loud[: max(1, len(loud) - int(seconds * per_second))]  # those with a clip's time left after them
+    begin = int(np.argmax(middles)) / per_second - seconds / 2
+    return min(max(begin, 0.0), len(x) / rate)
 
 
 def quiet(samples: Column, window: int, threshold: float, least: int) -> Column:

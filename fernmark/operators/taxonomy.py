@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernmark.operators.lookup import key_table
-from fernmark.scratch import small
+from fernmark.scratch import kept, small
 
 #: Rows for what is no species: unknown, several, none. Fixed values.
 SYNTHETIC = ("_UNK", "_MUL", "_NON")
@@ -46,7 +46,7 @@ def lookup(queries: DataFrame, species: DataFrame, query_col: str = "query", ord
     """Adds ``species_code`` to queries by any of the names; several names at once are ``_MUL``, unknown ones null."""
     keys = key_table(species, ["banding_code", "species_code", "com_name", "sci_name"], "species_code", order)
     normal = F.replace(F.lower(F.trim(query_col)), F.lit("'"), F.lit(""))
-    found = queries.withColumn("_key", normal).join(small(keys.withColumnRenamed("key", "_key")), "_key", "left")
+    found = queries.withColumn("_key", normal).join(small(kept(keys.withColumnRenamed("key", "_key"), "names")), "_key", "left")
     several: Column = F.contains(F.col(query_col), F.lit(","))
     return found.withColumn("species_code", F.when(several, F.lit("_MUL")).otherwise(F.col("id"))).drop("_key", "id")
 
@@ -55,4 +55,4 @@ def with_ordinal(rows: DataFrame, species: DataFrame, key: str, order: list[Colu
     """Adds the place of each row's species in taxonomic order, from 0; rows of no known species have none. The table of
     species is a dimension of some ten thousand rows, so its order is one window."""
     at = species.select(key, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).alias(name))
-    return rows.join(small(at), key, "left")
+    return rows.join(small(kept(at, "order")), key, "left")

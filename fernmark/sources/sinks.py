@@ -119,20 +119,6 @@ def open_sqlite(database: bytes) -> sqlite3.Connection:
     return db
 
 
-def sqlite(df: DataFrame, path: str, table: str, *, max_rows: int = 5_000_000) -> int:
-    """One SQLite file on the driver's disk, for a device; rows stream through the driver one partition at a time.
-
-    A device's table is small by nature: for more than ``max_rows`` rows there is ``sqlite_files``.
-    """
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows in one file of at most {max_rows}; sqlite_files writes several")
-    rows = _plain(df)
-    with sqlite3.connect(path) as db:
-        _fill(db, table, rows.dtypes, (tuple(r) for r in rows.toLocalIterator()))
-    return n
-
-
 def sampled(spark: SparkSession, path: str, key: str, per_cent: int, root: str, seed: str = "") -> DataFrame:
     """A hash sample of a Parquet table, written once below ``root`` and read from there."""
     from fernmark.operators.sampling import sample_share

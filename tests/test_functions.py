@@ -1,4 +1,4 @@
-"""Golden values of the column functions."""
+"""Golden values of the column functions. Week bins, geohash cells and media types are fixed values: any right implementation has these."""
 
 import datetime as dt
 

@@ -66,3 +66,15 @@ def test_awkward_rows(spark, monkeypatch, block):
     assert sorted((r.q_id, r.id, r.d_cosine) for r in found) == [(1, 4, 0.0), (4, 1, 0.0)]
     nothing = inverted_file.build(df.limit(0), "id", "v")
     assert inverted_file.nearest(nothing, df, 3).count() == 0
+
+
+def test_batches_over_the_bound_go_through_the_index(spark, monkeypatch):
+    from fernmark.operators import search
+
+    x = np.random.default_rng(5).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [0.0] * 8)], "id long, v array<double>")
+    asked = df.where("id % 20 = 0")
+    plain = search.batch_nearest(df, asked, "v", "id", 4).collect()
+    monkeypatch.setattr(search, "MAX_PAIRS", 10)
+    found = search.batch_nearest(df, asked, "v", "id", 4)
+    assert found.columns == ["q_id", "id", "d_cosine", "rank"] and sorted(map(tuple, found.collect())) == sorted(map(tuple, plain))

@@ -1,7 +1,6 @@
 import json
 
 import numpy as np
-import pytest
 
 from fernmark.sources import readers, sinks
 from fernmark.streaming import aggregates, framing
@@ -53,7 +52,6 @@ def test_materialize_and_exports(spark, tmp_path):
     assert sorted(spark.read.parquet(str(tmp_path / "e")).columns) == ["id", "norm_v", "species", "v_0", "v_1"]
     sinks.by_species(df, str(tmp_path / "b"), "species")
     assert spark.read.parquet(str(tmp_path / "b")).count() == 2
-    assert sinks.sqlite(df, str(tmp_path / "d.sqlite"), "recs") == 2
     sinks.key_map(df, "id", "species", str(tmp_path / "m"))
     assert spark.read.text(str(tmp_path / "m")).count() == 2
 
@@ -130,8 +128,6 @@ def test_sqlite_files(spark, tmp_path):
     assert sorted(found) == [(k, f"[{k}]", b"x", None if k % 2 else 0.5) for k in range(25)]
     sinks.sqlite_files(df.limit(0), str(tmp_path / "e"), "recs")
     assert spark.read.parquet(str(tmp_path / "e")).count() == 0
-    with pytest.raises(ValueError, match="sqlite_files"):
-        sinks.sqlite(df, str(tmp_path / "x.sqlite"), "recs", max_rows=3)
 
 
 def test_compressed_latin1(spark, tmp_path):
