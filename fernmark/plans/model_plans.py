@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import partial
 
 from pyspark.sql import functions as F
 
 from fernmark import scratch
-from fernmark.operators import clustering, evals, microclusters, models, projection, sampling, signal
+from fernmark.operators import clustering, collected, evals, microclusters, models, projection, sampling, signal
 from fernmark.plans.registry import ORACLES, query, read
 from fernmark.plans.segment_plans import _flags as segments_of
 from fernmark.streaming import aggregates, closing
@@ -58,21 +57,22 @@ def whitened_projection(spark, sf_dir):
     return found.select("vec_id", F.transform("projected", lambda v: F.round(v, 4)).alias("projected"))
 
 
+def _prices(spark, sf_dir):
+    """Each supplier's prices in the order of their lines, less 38,000 (about their middle), as the samples of a recording."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("id"), "l_orderkey", "l_linenumber", (F.col("l_extendedprice") - 38_000).alias("samples"))
+    return collected.lists_per_key(rows, ["id"], "samples", ["l_orderkey", "l_linenumber"])
+
+
 @query("thumbnail_starts")
 def thumbnail_starts(spark, sf_dir):
-    """Where thumbnails of tones start that are loudest at a time made from the part's size."""
-    sizes = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("id")).distinct()
-    loud = lambda x: F.exp(-F.pow(x / 2000 - F.col("id") / 10, 2) * 50)
-    samples = F.transform(F.sequence(F.lit(0), F.lit(15999)), lambda x: F.sin(x * 1.5) * loud(x))
-    return signal.thumbnails(sizes.select("id", samples.alias("samples")), 2000.0)
+    """Where a second of each supplier's prices, a hundred a second, starts that is around the loudest moment."""
+    return signal.thumbnails(_prices(spark, sf_dir), 100.0, nperseg=64, hop=32)
 
 
 @query("mel_of_tones")
 def mel_of_tones(spark, sf_dir):
-    """Mel spectra of tones, one for each part size: what band is loudest."""
-    sizes = read(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("id")).distinct()
-    tone = F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda t: F.sin(t * F.col("id") * (2 * math.pi * 100 / 22050)))
-    mel = signal.mel_features(sizes.select("id", tone.alias("samples")), 22050.0)
+    """Mel spectra of each supplier's prices: what band is loudest."""
+    mel = signal.mel_features(_prices(spark, sf_dir), 22050.0).where(F.size(F.get("mel", F.lit(0))) > 0)
     level = F.transform("mel", lambda band: F.aggregate(band, F.lit(0.0), lambda a, v: a + v))
     return mel.select("id", (F.array_position(level, F.array_max(level)) - 1).cast("int").alias("loudest_band"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fernmark import scratch
-from fernmark.operators import collected, signal, views, worklists
+from fernmark.operators import collected, filters, signal, views, worklists
 from fernmark.plans.registry import query, read
 from fernmark.streaming import aggregates, closing, framing
 
@@ -91,6 +91,16 @@ def spectrogram_frames(spark, sf_dir):
     return frames.select("user_id", "frame", F.posexplode("s").alias("f", "v")).select("user_id", "frame", "f", F.round("v", 4).alias("level"))
 
 
+@query("low_passed", f"""WITH RECURSIVE {_X}, c AS (SELECT tan(pi() * 2 / 16) / (1 + tan(pi() * 2 / 16)) AS b, (tan(pi() * 2 / 16) - 1) / (1 + tan(pi() * 2 / 16)) AS a),
+y AS (SELECT user_id, i, v, b * v AS y FROM x, c WHERE i = 0 UNION ALL SELECT x.user_id, x.i, x.v, c.b * (x.v + y.v) - c.a * y.y FROM y JOIN x ON x.user_id = y.user_id AND x.i = y.i + 1, c)
+SELECT user_id, i::INT AS place, round(y, 4) AS value FROM y""")
+def low_passed(spark, sf_dir):
+    """Each user's values through a Butterworth low pass of order one, at an eighth of the rate."""
+    sections = filters.butterworth(1, 16.0, high=2.0)
+    found = _signals(spark, sf_dir).select("user_id", F.posexplode(filters.filtered(F.col("samples"), sections)).alias("place", "v"))
+    return found.select("user_id", "place", F.round("v", 4).alias("value"))
+
+
 @query("stream_frames", f"""WITH {_X}, f AS (SELECT user_id AS id, i, sum(v) OVER w AS total, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING))
 SELECT id, i // 4 AS frame, i AS start, round(total, 4) AS total FROM f WHERE i % 4 = 0 AND n = 8""")
 def stream_frames(spark, sf_dir):
