@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("rid"))
-    found = rows.select("rid", "text").mapInArrow(_anchor_rows(length), "g long, rid binary, pos int")
+    found = materialize(rows.select("rid", "text").mapInArrow(_anchor_rows(length), "g long, rid binary, pos int"), "anchors")
     repeated = materialize(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     # Anchors of frequent grams are dealt to as many tasks as their count asks for.
     hot = F.broadcast(repeated.where(F.col("n") >= _often(repeated)).select("g", F.least(F.ceil(F.col("n") / HOT), F.lit(_MOST_SALTS)).alias("salts")))
