@@ -105,7 +105,7 @@ def _documents(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = elias_fano.EliasFano(row["ends"]).decode()
+                ends = elias_fano.EliasFano(row["ends"]).select_many(np.arange(len(row["doc_ids"])))
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
                 starts = np.concatenate([[0], ends[:-1]])
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
@@ -135,7 +135,8 @@ def fetch(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
                 ends = elias_fano.EliasFano(row["ends"])
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
                 for k in (k for k, d in enumerate(row["doc_ids"]) if d in chosen):
-                    found = ids[ends.select(k - 1) if k else 0 : ends.select(k)]
+                    start, stop = np.append(0, ends.select_many([k - 1, k] if k else [0]))[-2:]
+                    found = ids[start:stop]
                     yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k]], pa.int64()), pa.array([found.astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).where(F.arrays_overlap("doc_ids", F.lit(list(wanted)).cast("array<long>")))

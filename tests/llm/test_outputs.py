@@ -22,6 +22,10 @@ def test_elias_fano(n, top):
     code = elias_fano.EliasFano(data)
     assert np.array_equal(code.decode(), values)
     assert [code.select(i) for i in range(0, n, 7)] == values[::7].tolist()
+    some = np.random.default_rng(1).integers(0, max(n, 1), 50 if n else 0)
+    assert np.array_equal(code.select_many(some), values[some]) and np.array_equal(code.select_many(np.arange(n)), values)
+    with pytest.raises(IndexError):
+        code.select_many([n])
     if n == 1000:
         assert len(data) * 8 < n * (3.2 + np.log2(top / n + 1)) + 600
 
