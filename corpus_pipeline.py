@@ -4,6 +4,10 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of their input. Decisions are taken and carried out row by row: rows that
 share an id, or have none, are told apart by id and text.
+
+In every stage very long texts are read whole, an empty table gives an empty
+result, and other columns are kept (by the last stage ignored), whatever their
+names and types, maps included. Ties go to the lowest id, then to the lowest row.
 """
 
 from __future__ import annotations
