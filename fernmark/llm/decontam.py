@@ -29,22 +29,23 @@ from fernmark.llm._common import broadcast_if_small, materialize, row_key, table
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most rows (a word and its place, a window with its items, a hit document) that are broadcast; more are joined by a shuffle.
+#: Most rows (a word and its place, a window, an item of a window, a hit document) that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    split = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD)
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), "")
 
 
-def _windows(benchmark: DataFrame, n: int, item_col: str, item_text_col: str) -> DataFrame:
-    """Each distinct window (an array of words), and the sorted ids of its items."""
+def _windows(benchmark: DataFrame, n: int, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each distinct window (no, an array of words), and which items have it (no, item): rows, as any number of items may share one."""
     words = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     last = F.greatest(F.size("words") - n, F.lit(0))
     rows = words.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("first"))
-    return rows.select("item", F.slice("words", F.col("first") + 1, F.lit(n)).alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("its"))
+    pairs = rows.select("item", F.slice("words", F.col("first") + 1, F.lit(n)).alias("window"))
+    windows = materialize(pairs.select("window").distinct().withColumn("no", F.monotonically_increasing_id()), "windows")
+    return windows, materialize(pairs.join(broadcast_if_small(windows, MAX_BROADCAST_ROWS), "window").select("no", "item").distinct(), "items")
 
 
 def _rarest(words: DataFrame, windows: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def hits(
     docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """key (``row_key``), n_hit (words inside a window that occurs) and items (sorted) of the documents that are hit."""
-    windows = materialize(_windows(benchmark, n, item_col, item_text_col), "windows")
+    windows, items = _windows(benchmark, n, item_col, item_text_col)
     rows = docs.select(row_key(id_col, text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
     prefix = materialize(_rarest(rows, windows), "prefixes")
     spot = F.col("at") - F.col("offset")
@@ -77,10 +78,11 @@ def hits(
         tested = rows.join(starts, "key").select("key", "words", F.explode("tests").alias("t")).select("key", "t.start", F.slice("words", F.col("t.start") + 1, F.col("t.length")).alias("window"))
     found = tested.join(F.broadcast(windows) if under(windows, MAX_BROADCAST_ROWS) else windows, "window")
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("end"))))
-    by_row = materialize(found.groupBy("key").agg(spans.alias("spans"), F.collect_set("its").alias("its")), "hits")
+    by_row = materialize(found.groupBy("key").agg(spans.alias("spans"), F.collect_set("no").alias("nos")), "hits")
+    which = by_row.select("key", F.explode("nos").alias("no")).join(broadcast_if_small(items, MAX_BROADCAST_ROWS), "no").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto"))
     union = F.aggregate("spans", zero, lambda a, s: F.struct((a["covered"] + F.greatest(s["end"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("covered"), F.greatest(a["upto"], s["end"]).alias("upto")))
-    return by_row.select("key", union["covered"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("its"))).alias("items"))
+    return by_row.select("key", union["covered"].cast("long").alias("n_hit")).join(which, "key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -27,6 +27,24 @@ def test_places_over_many_blocks(spark, monkeypatch):
     assert a == b and [x[1] for x in a[:1000]] == list(range(1000)) and all(p[3] == q[2] for p, q in zip(a[:999], a[1:1000]))
 
 
+def test_one_number_for_most_turns(spark, monkeypatch):
+    """Blocks over the bound are cut by range, inside a number and inside rows alike; places and order stay."""
+    rows = [(1, None, "ab"[k % 2], "x" * (k % 5)) for k in range(300)] + [(1, 7, "c", "same")] * 300 + [(1, k, "ab"[k % 2], str(k)) for k in range(600)] + [(None, None, None, str(k % 9)) for k in range(200)] + [(2, 1, "ann", "hi")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = sorted(map(str, rows_of(chat.rotate(conv))))
+    monkeypatch.setattr(chat, "MOST_IN_BLOCK", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for most in (500_000, 0):
+            monkeypatch.setattr(chat, "MAX_BROADCAST_ROWS", most)
+            assert sorted(map(str, rows_of(chat.rotate(conv)))) == whole
+        turns = conv.selectExpr("'i1' c", "0 block", "turn", "role who", "text", "conv_id").where("conv_id = 1")
+        parts = [r["count"] for r in chat._in_parts(turns)[0].groupBy("part").count().collect()]
+        assert sum(parts) == 1200 and max(parts) < 800
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute_hits(doc, items, n=10):
     split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
     w, hit, which = split(doc), set(), set()
@@ -57,6 +75,17 @@ def test_decontamination(spark, monkeypatch):
     assert decontam.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_a_window_of_all_items(spark, monkeypatch):
+    """Items of a shared window are joined last, as rows."""
+    docs = spark.createDataFrame([(1, "so it is: one two three"), (2, "one two"), (3, "two three four five")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, "ONE two") for k in range(500)] + [(900, "four five"), (901, "three four"), (902, "five six")], "item_id long, text string")
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_ROWS", most)
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows_of(decontam.decontaminate(docs, bench))}
+        every = sorted(map(str, range(500)))
+        assert got == {1: (6, 2, every), 2: (2, 2, every), 3: (4, 3, ["900", "901"])}
+
+
 def test_a_filter_does_not_split_again(spark):
     """Whatever is asked of the result, no text is split inside a lambda or a filter."""
     docs, bench = documents(spark), spark.createDataFrame([(1, "one two three")], "item_id long, text string")
